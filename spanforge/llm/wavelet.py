@@ -29,6 +29,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,9 @@ from spanforge.llm.common import arrow_batches, published
 SHARD_TOKENS = 1 << 20
 #: Rows of one range of doc ids: the unit that is dealt out and sorted.
 RANGE_ROWS = 2000
-#: Pieces remembered by a worker; beyond, the memory starts anew.
-CACHE_PIECES = 250_000
+#: Pieces of one generation of a worker's memory; there are two.
+CACHE_PIECES = 400_000
+_TAIL = '.,;:!?|%$&#*()"'
 _MAGIC, _VERSION, _BLOCK = b"SFWM", 1, 512
 _HEAD = struct.Struct("<4sIIQQI")
 
@@ -205,7 +207,8 @@ class PieceEncoder:
         plain = '"ByteLevel"' in level and '"add_prefix_space":false' in level and '"use_regex":true' in level and self.tokenizer.normalizer is None
         self.cuts = plain and not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in self.tokenizer.get_added_tokens_decoder().values())
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -229,23 +232,44 @@ class PieceEncoder:
                     own.append(first)
                     own += [" " + x for x in rest]
                 pieces.append(own)
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = list({x for own in pieces if own for x in own if x not in cache})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            cache.update(zip(part, self._whole(part), strict=True))
-        out = []
-        for text, own in zip(texts, pieces, strict=True):
-            if own is None:
-                out.append(np.array(self._whole([text])[0], np.uint32))
+        known = self._known(set(chain.from_iterable(x for x in pieces if x)))
+        return [
+            np.array(self._whole([text])[0], np.uint32) if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32)
+            for text, own in zip(texts, pieces, strict=True)
+        ]
+
+    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        """The memory with all wanted pieces in it, each as packed ids.
+
+        Two generations: a full young one becomes the old one, whose pieces return when
+        they are wanted again, so that frequent pieces stay and the size is bounded.
+        """
+        if len(self.young) + len(wanted) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for x in wanted:
+            if x not in young:
+                ids = old.get(x)
+                if ids is None:
+                    new.append(x)
+                else:
+                    young[x] = ids
+        # Punctuation after a letter is a match of its own, so stem and tail are encoded apart.
+        ends, alone = {}, set()
+        for x in new:
+            stem = x.rstrip(_TAIL)
+            if len(stem) < len(x) and stem[-1:].isalpha():
+                ends[x] = (stem, x[len(stem) :])
+                alone.update(ends[x])
             else:
-                ids: list[int] = []
-                for x in own:
-                    ids += cache[x]
-                out.append(np.array(ids, np.uint32))
-        return out
+                alone.add(x)
+        alone = [x for x in alone if x not in young]
+        for k in range(0, len(alone), 20_000):
+            part = alone[k : k + 20_000]
+            young.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self._whole(part)), strict=True))
+        for x, (stem, tail) in ends.items():
+            young[x] = young[stem] + young[tail]
+        return young
 
 
 @lru_cache(maxsize=2)
