@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe, decontaminate, licenses, line_dedup, minhash_dedup, quality_fm, quality_rules, wavelet
+from spanforge.llm import bpe, decontaminate, licenses, line_dedup, minhash_dedup, quality_fm, quality_rules, url_filter, wavelet
 from spanforge.llm.common import read_table
 
 END_ID = 2
@@ -28,6 +28,10 @@ def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"), report=True)
     return found.select("doc_id", "source", "text", "n_lines", "n_dropped", "left_whole")
