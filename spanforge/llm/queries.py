@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe, decontaminate, licenses, line_dedup, minhash_dedup, quality_fm, quality_rules, url_filter, wavelet
+from spanforge.llm import bpe, chat_format, decontaminate, licenses, line_dedup, minhash_dedup, quality_fm, quality_rules, url_filter, wavelet
 from spanforge.llm.common import read_table
 
 END_ID = 2
@@ -24,6 +24,10 @@ def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_documents(docs, quality_fm.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.perspectives(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

@@ -1,3 +1,64 @@
 """DuckDB statements that give the same rows as the queries of ``queries.py``."""
 
-ORACLES: dict[str, str] = {}
+OP2 = r"""
+with rows as (select distinct conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') text from conversations),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(speaker || chr(31) || text), speaker, text) - 1 as pos from rows),
+people as (select distinct conv_id, speaker as perspective from rows where speaker <> 'system'),
+views as (
+  select n.conv_id, p.perspective, n.pos // 64 as piece, n.pos, n.speaker = p.perspective as own, n.text,
+    case when n.speaker = p.perspective then '<|assistant|>' || chr(10) when n.speaker = 'system' then '<|system|>' || chr(10) else '<|user name=' || n.speaker || '|>' || chr(10) end as head
+  from numbered n join people p on n.conv_id is not distinct from p.conv_id),
+parts as (select *, head || text || chr(10) || '<|end|>' || chr(10) as part from views),
+placed as (
+  select *, length(head) + coalesce(sum(length(part)) over (partition by conv_id, perspective, piece order by pos rows between unbounded preceding and 1 preceding), 0) as start from parts)
+select conv_id, perspective, piece, count(*) as n_turns, string_agg(part, '' order by pos) as text,
+  coalesce(string_agg(case when own and length(text) > 0 then start::bigint || '-' || (start + length(text))::bigint end, ',' order by pos), '') as mask
+from placed group by conv_id, perspective, piece
+"""
+
+OP5 = r"""
+with d as (select row_number() over () as r, doc_id, source, text from documents),
+l as (select r, doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from d),
+b as (select *, trim(line, ' ' || chr(9) || chr(13)) as bare from l),
+c as (select source, bare, count(distinct r) as n from b where bare <> '' group by all),
+h as (select source, count(*) as pages from d group by 1),
+bad as (select c.source, c.bare from c join h on c.source is not distinct from h.source where n >= 5 and n > 0.01 * pages),
+m as (select b.*, bad.bare is not null as drop_it from b left join bad on b.source is not distinct from bad.source and b.bare = bad.bare),
+s as (select r, count(*) filter (bare <> '') as n_lines, sum(length(bare)) as total, coalesce(sum(length(bare)) filter (drop_it), 0) as gone, count(*) filter (drop_it) as n_bad,
+  coalesce(string_agg(line, chr(10) order by i) filter (not drop_it), '') as kept from m group by r),
+w as (select *, n_lines >= 3 and gone > 0.5 * total as left_whole from s)
+select d.doc_id, d.source, case when w.left_whole or d.text is null then d.text else w.kept end as text,
+  coalesce(w.n_lines, 0)::bigint as n_lines, (case when coalesce(w.left_whole, false) then 0 else coalesce(w.n_bad, 0) end)::bigint as n_dropped, coalesce(w.left_whole, false) as left_whole
+from d left join w on d.r = w.r
+"""
+
+OP7 = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+k as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s from d),
+n as (select doc_id, len(s) as n from k),
+e as (select doc_id, unnest(s) as g from k),
+f as (select g from e group by g having count(*) > 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from e x join e y on x.g = y.g and x.doc_id < y.doc_id where x.g in (select g from f) group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+u as (select a, b from l union all select b, a from l),
+r(doc_id, root) as (select doc_id, doc_id from n union select u.b, r.root from r join u on u.a = r.doc_id where r.root < u.b)
+select n.doc_id, n.n::bigint as n_shingles, min(r.root) as component_id, n.doc_id = min(r.root) as kept from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
+"""
+
+OP10 = r"""
+with b as (select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark where item_id is not null),
+i as (select item_id, least(len(w), 5) as width, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) end) as g from b),
+t as (select item_id, count(*) as n_item from i group by 1),
+d as (select doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(case when len(w) < 5 then [] else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) end) as g from d),
+c as (select s.doc_id, i.item_id, count(*) as n_shared from s join i on s.g = i.g where i.width = 5 group by all)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join t using (item_id) where 100 * n_shared >= 80 * n_item
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_perspective_rotation": OP2,
+    "op5_line_dedup": OP5,
+    "op7_signature_coordinate_join": OP7,
+    "op10_minhash_containment": OP10,
+}
