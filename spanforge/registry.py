@@ -1,9 +1,19 @@
-"""Queries of the library's own operators."""
+"""Queries of the library's own operators, by name, and their DuckDB statements."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from spanforge.plans import spans
+
+PLANS = (spans,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
