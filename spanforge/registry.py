@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import spans
+from spanforge.plans import spans, text
 
-PLANS = (spans,)
+PLANS = (spans, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
