@@ -47,7 +47,8 @@ def boilerplate(docs: DataFrame, host: str, text: str) -> DataFrame:
     """``host, bad``: for each host with any, the sorted hashes of its boilerplate lines."""
     lines = docs.select(F.col(host).cast("string").alias("host"), _lines(F.col(text).cast("string")).alias("lines"))
     held = F.array_distinct(F.transform(F.filter(F.transform("lines", _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = lines.select("host", F.explode(held).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    # The outer form: an inner one infers a filter that computes the array once more.
+    counts = lines.select("host", F.explode_outer(held).alias("line")).where(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     pages = docs.groupBy(F.col(host).cast("string").alias("h")).agg(F.count("*").alias("pages"))
     over = counts.join(pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > RATIO * F.col("pages"))
     return published(over.groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad")), "boilerplate")

@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     # rows alike are judged once and counted, so a hot URL is pre-aggregated
     rows = named.groupBy("page_id", "url", "host", "path").agg(F.count("*").alias("copies")).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of(F.col("rule"), rules))
     rows = published(rows.withColumn("fold", F.pmod(F.crc32(F.concat("host", "path")), F.lit(CALIBRATION))), "url-rows")
-    spread = rows.select("page_id", "url", "copies", "ruled", "fold", F.explode(grams(symbols(F.col("host"), F.col("path")))).alias("gram"))
+    spread = rows.select("page_id", "url", "copies", "ruled", "fold", F.explode_outer(grams(symbols(F.col("host"), F.col("path")))).alias("gram")).where(F.col("gram").isNotNull())
     learned = spread.where("ruled is not null and fold > 0").groupBy("gram").agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("r")
     )
