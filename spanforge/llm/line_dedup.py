@@ -15,7 +15,7 @@ template: it is left whole, for near-duplicate removal to judge.
 Defined results: a null text stays null and holds no lines; a text that is nothing but one
 or two boilerplate lines becomes empty. A null host is a host of its own. Every row counts
 as a page, repeated rows too. All other columns are returned as they are; ``n_chars``,
-where present and stated, becomes the length of the new text.
+where present and stated, becomes the length of a text that changed.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     kept = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x["b"]), lambda x: x["s"]), "\n")
     new = F.when(F.col("__ld_bad").isNull() | F.col("__ld_whole") | F.col("__ld_lines").isNull(), F.col(text)).otherwise(kept)
     out = marked.withColumn("__ld_text", new)
-    stated = {"n_chars": F.when(F.col("n_chars").isNotNull(), F.length("__ld_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")} if "n_chars" in columns else {}
+    stated = {"n_chars": F.when(F.col("n_chars").isNotNull() & (F.col("__ld_text") != F.col(text)), F.length("__ld_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in columns else {}
     found = [F.col("__ld_text").alias(text) if c == text else stated.get(c, F.col(c)) for c in columns]
     if report:
         dropped = F.when(F.col("__ld_lines").isNull() | F.col("__ld_whole"), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x["b"])))
