@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import integrity, retrieval, spans, text
+from spanforge.plans import integrity, retrieval, spans, stateful, text
 
-PLANS = (spans, text, retrieval, integrity)
+PLANS = (spans, text, retrieval, integrity, stateful)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
