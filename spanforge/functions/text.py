@@ -81,16 +81,16 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
 
 
 def syllables(word: Column, accented: bool = False) -> Column:
-    """Vowel groups less a silent final e, at least 1 for a word with letters, else 0."""
-    vowels = "[aeiouyàáâãäåèéêëìíîïòóôõöùúûü]+" if accented else "[aeiouy]+"
-    low = F.lower(word)
-    groups = F.regexp_count(low, F.lit(vowels)) - F.when(F.endswith(low, F.lit("e")) & (F.regexp_count(low, F.lit(vowels)) > 1), 1).otherwise(0)
-    return F.when(low.rlike(r"\p{L}"), F.greatest(groups, F.lit(1))).otherwise(0)
+    """Vowel groups of a word's letters less a silent final e, at least 1; 0 without letters."""
+    vowels = F.lit("[aeiouyàáâãäåèéêëìíîïòóôõöùúûü]+" if accented else "[aeiouy]+")
+    letters = F.lower(F.regexp_replace(word, r"[^\p{L}]", ""))
+    groups = F.regexp_count(letters, vowels)
+    return F.when(letters == "", 0).otherwise(F.greatest(groups - F.when(F.endswith(letters, F.lit("e")) & (groups > 1), 1).otherwise(0), F.lit(1)))
 
 
 def chunk_weight(text: Column) -> Column:
     """Syllables, and 3.0 for an ender or 1.2 for a clause mark at the end."""
-    total = F.aggregate(F.transform(words(text), lambda w: syllables(w)), F.lit(0), lambda a, x: a + x)
+    total = F.greatest(F.aggregate(F.transform(words(text), lambda w: syllables(w)), F.lit(0), lambda a, x: a + x), F.lit(1))
     last = F.right(F.trim(text), F.lit(1))
     return total + F.when(last.isin(".", "!", "?", "…"), F.lit(3.0)).when(last.isin(",", ";", ":"), F.lit(1.2)).otherwise(F.lit(0.0))
 

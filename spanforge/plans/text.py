@@ -171,7 +171,8 @@ dc as (select doc_id, term, count(*) as df, sum(n)::bigint as total, min((idx, p
 dv as (select doc_id, term, df, total, row_number() over (partition by doc_id order by total desc, first) as place from dc join sz using (doc_id) where df >= greatest(2, round_even(n_lines * 0.15, 0)) qualify place <= 15)"""
 _SUBJ = _DOM + """,
 so as (select c.doc_id, c.idx, count(*) as terms, count(dv.term) as hits from cn c left join dv on dv.doc_id = c.doc_id and dv.term = c.term group by 1, 2)"""
-_SYL = "case when regexp_matches(lower(w), '\\p{L}') then greatest(len(regexp_extract_all(lower(w), '%s')) - case when lower(w) like '%%e' and len(regexp_extract_all(lower(w), '%s')) > 1 then 1 else 0 end, 1) else 0 end"
+_LET = "lower(regexp_replace(w, '[^\\p{L}]', '', 'g'))"
+_SYL = f"case when {_LET} = '' then 0 else greatest(len(regexp_extract_all({_LET}, '%s')) - case when {_LET} like '%%e' and len(regexp_extract_all({_LET}, '%s')) > 1 then 1 else 0 end, 1) end"
 _V1, _V2 = "[aeiouy]+", "[aeiouyàáâãäåèéêëìíîïòóôõöùúûü]+"
 _WORDS = "list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')"
 _SENT = "ss as (select doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?…])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '') as t from documents)"
@@ -192,7 +193,7 @@ f as (select doc_id, idx, start, stop, (start + stop) // 2 as mid, len(t) as n_t
 select a.doc_id, a.idx, a.hits, sum(b.hits)::bigint as window_hits, sum(b.n_tokens)::bigint as window_tokens from f a join f b on b.doc_id = a.doc_id and b.stop > a.mid - 12500 and b.start < a.mid + 12500 group by 1, 2, 3
 having sum(b.n_tokens) >= 12 and sum(b.hits) * 100 >= 15 * sum(b.n_tokens) and a.hits >= 2""",
     "syllable_weight": f"""with {_LINES}, w as (select doc_id, idx, text, unnest(case when len({_WORDS}) = 0 then [''] else {_WORDS} end) as w from l),
-s as (select doc_id, idx, text, sum({_SYL % (_V1, _V1)}) as n from w group by all) select doc_id, round(sum(n::double + case when right(trim(text), 1) in ('.', '!', '?', '…') then 3.0::double when right(trim(text), 1) in (',', ';', ':') then 1.2::double else 0 end), 3) as weight from s group by 1""",
+s as (select doc_id, idx, text, sum({_SYL % (_V1, _V1)}) as n from w group by all) select doc_id, round(sum(greatest(n, 1)::double + case when right(trim(text), 1) in ('.', '!', '?', '…') then 3.0::double when right(trim(text), 1) in (',', ';', ':') then 1.2::double else 0 end), 3) as weight from s group by 1""",
     "clause_weight": f"""with {_LINES}, w as (select doc_id, idx, text, unnest(case when len({_WORDS}) = 0 then [''] else {_WORDS} end) as w from l),
 s as (select doc_id, idx, text, sum({_SYL % (_V2, _V2)}) as n from w group by all) select doc_id, round(sum(n::double + 3.0::double * len(regexp_extract_all(text, '[.!?…]')) + 1.2::double * len(regexp_extract_all(text, '[,;:]'))), 3) as weight from s group by 1""",
     "cosine_prev8": f"""with {_TERMS}, no as (select doc_id, idx, sqrt(sum(n * n)::double) as norm from cn group by 1, 2),
