@@ -101,13 +101,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             hits = hits | F.exists(_hashes(words, width), _among(listed))
         candidates = rows.where(hits)
     else:
-        own = F.flatten(F.array(*(F.transform(_hashes(words, w), _tagged(w, "hash")) for w in widths)))
-        held = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode(F.array_distinct(own)).alias("s")).select("doc_id", "row_key", "s.width", "s.hash")
+        own = F.flatten(F.array(*(F.transform(F.array_distinct(_hashes(words, w)), _tagged(w, "hash")) for w in widths)))
+        held = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode_outer(own).alias("s")).select("doc_id", "row_key", "s.width", "s.hash")
         keys = held.join(coordinates, ["width", "hash"]).select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")).distinct()
         candidates = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_key")), "left_semi")
-    # Exact containment of the candidates: shingles as strings, every item it may hold.
-    exact = F.array_distinct(F.flatten(F.array(*(F.transform(_windows(words, w), _tagged(w, "shingle")) for w in widths))))
-    spread = candidates.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode(exact).alias("s")).select("doc_id", "row_key", "s.width", "s.shingle")
+    # Exact containment of the candidates: shingles as strings, every item it may hold. They
+    # are made distinct before they become structs, whose comparison is quadratic.
+    exact = F.flatten(F.array(*(F.transform(F.array_distinct(_windows(words, w)), _tagged(w, "shingle")) for w in widths)))
+    # The outer form: an inner one infers a filter that computes these strings for every row.
+    spread = candidates.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode_outer(exact).alias("s")).select("doc_id", "row_key", "s.width", "s.shingle")
     totals = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"))
     shared = spread.join(shingles.select("item_id", "width", "shingle"), ["width", "shingle"]).groupBy("doc_id", "row_key", "item_id").agg(F.countDistinct("width", "shingle").alias("n_shared"))
     return shared.join(totals, "item_id").where(F.col("n_shared") >= _least(F.col("n_item"))).select("doc_id", "row_key", "item_id", "n_shared", "n_item")
