@@ -56,9 +56,36 @@ c as (select s.doc_id, i.item_id, count(*) as n_shared from s join i on s.g = i.
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join t using (item_id) where 100 * n_shared >= 80 * n_item
 """
 
+OP8 = r"""
+with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+u as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+g as (select r, pos, case when lead(word, 4) over o is not null then concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o) end as gram from u window o as (partition by r order by pos)),
+c as (select r, gram from g where gram is not null group by all having count(*) > 1),
+f as (select g.r, max(case when c.gram is not null then 1 else 0 end) over (partition by g.r order by g.pos rows between 4 preceding and current row) as hit from g left join c on c.r = g.r and c.gram = g.gram),
+rp as (select r, sum(hit)::bigint as n_repeat_words from f group by 1),
+ln as (select r, unnest(string_split(t, chr(10))) as line from d),
+dl as (select r, count(*) - count(distinct line) as n_dup_lines from ln where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+m as (select w.r, doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_capitals from w left join rp using (r) left join dl using (r)),
+x as (select r, lang, source, unnest([{'i': 1, 'rate': 'symbol_rate', 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'i': 2, 'rate': 'dup_line_rate', 'v': 1000 * n_dup_lines // greatest(n_words, 1)}, {'i': 3, 'rate': 'repeat_rate', 'v': 1000 * n_repeat_words // greatest(n_words, 1)},
+  {'i': 4, 'rate': 'capital_rate', 'v': 1000 * n_capitals // greatest(word_chars, 1)}, {'i': 5, 'rate': 'word_length', 'v': 100 * word_chars // greatest(n_words, 1)}]) as e from m),
+s as (select lang, source, e.rate as rate, greatest(length(bin(e.v)) - 6, 0) * 64 + (e.v >> greatest(length(bin(e.v)) - 6, 0)) as bucket, count(*) as n from x group by all),
+lv as (select 1 as lev, lang, source, rate, bucket, n from s union all select 2, lang, null, rate, bucket, sum(n) from s group by lang, rate, bucket union all select 3, null, null, rate, bucket, sum(n) from s group by rate, bucket),
+q as (select *, sum(n) over (partition by lev, lang, source, rate order by bucket) as upto, sum(n) over (partition by lev, lang, source, rate) as docs, ((bucket % 64 + 1) << (bucket // 64)) - 1 as top from lv),
+fe as (select lev, lang, source, rate, max(docs) as docs, min(top) filter (upto >= ceil(docs * 0.5)) as mid, min(top) filter (upto >= ceil(docs * 0.9::double)) as high from q group by all),
+fs as (select lev, lang, source, rate, docs, mid + 3 * (high - mid) + case rate when 'repeat_rate' then 150 when 'capital_rate' then 250 when 'word_length' then 400 else 60 end as fence from fe),
+pa as (select x.r, x.e.i as i, x.e.rate as rate, x.e.v > case when a.docs >= 50 then a.fence when b.docs >= 50 then b.fence else z.fence end as past
+  from x join fs a on a.lev = 1 and a.lang is not distinct from x.lang and a.source is not distinct from x.source and a.rate = x.e.rate join fs b on b.lev = 2 and b.lang is not distinct from x.lang and b.rate = x.e.rate join fs z on z.lev = 3 and z.rate = x.e.rate),
+fl as (select r, coalesce(string_agg(rate, ',' order by i) filter (past), '') as failed_rates from pa group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, failed_rates,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed_rates = '' as kept from m join fl using (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_perspective_rotation": OP2,
     "op5_line_dedup": OP5,
     "op7_signature_coordinate_join": OP7,
+    "op8_adaptive_thresholds": OP8,
     "op10_minhash_containment": OP10,
 }
