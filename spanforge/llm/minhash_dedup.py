@@ -139,7 +139,8 @@ def _joined(stars: DataFrame) -> DataFrame:
 
 def _cell(n):
     """Size cell: sets of similarity LINK % lie in the same or the next cell."""
-    return F.floor(F.log(n) / F.lit(float(np.log(100 / LINK)))).cast("long")
+    # a hair wider than the exact step, so that rounding never parts them by two cells
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / LINK)) * (1 + 1e-9))).cast("long")
 
 
 class _Union:
