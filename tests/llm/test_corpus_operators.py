@@ -181,3 +181,46 @@ def test_pipeline_stages_compose(spark):
 def test_queries_are_the_ten():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def _ratios(pages):
+    """Mean log ratio of each URL by the definition, with plain dictionaries."""
+    import math
+    from collections import Counter
+    from zlib import crc32
+
+    def grams(url):
+        host, path, *_ = _rule(url)
+        text = re.sub(r"[^a-z0./\-]", "?", re.sub("[0-9]", "0", (host + path).lower()))
+        s = [0, 0, 0] + [url_filter.ALPHABET.index(c) + 1 for c in text]
+        return [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
+
+    seen = {"allow": Counter(), "block": Counter()}
+    for _, url in pages:
+        host, path, _, verdict = _rule(url)
+        if verdict and crc32((host + path).encode()) % 4:
+            seen[verdict].update(g[-k:] for g in grams(url) for k in (1, 2, 3, 4))
+    after = {v: {} for v in seen}
+    for v, counts in seen.items():
+        for g, n in counts.items():
+            t, d = after[v].get((len(g), g[:-1]), (0, 0))
+            after[v][len(g), g[:-1]] = t + n, d + 1
+
+    def chance(v, g):
+        lower = chance(v, g[1:]) if len(g) > 1 else 1 / 32
+        t, d = after[v].get((len(g), g[:-1]), (0, 0))
+        return (seen[v][g] + d * lower) / (t + d) if t else lower
+
+    def ratio(g):
+        known = next((g[-k:] for k in (4, 3, 2, 1) if any(g[-k:] in c for c in seen.values())), None)
+        return math.log(chance("allow", known) / chance("block", known)) if known else 0.0
+
+    return {k: sum(map(ratio, grams(u))) / len(grams(u)) for k, u in pages}
+
+
+def test_url_ratio_by_brute_force(spark):
+    rng = random.Random(6)
+    pages = [(k, f"http://{rng.choice(['a', 'bb', 'c-c'])}{rng.randrange(9)}.example.{t}/{p}/{rng.randrange(999)}_x") for k in range(120) for t, p in [rng.choice([("com", "de"), ("com", "en"), ("net", "fr"), ("org", "es"), ("org", "é~q")])]]
+    got = {r.page_id: r.score for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    want = _ratios(pages)
+    assert all(abs((got[k] - got[0]) - (want[k] - want[0])) < 1e-6 for k in got)
