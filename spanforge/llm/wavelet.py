@@ -26,13 +26,14 @@ import os
 import re
 import struct
 import zlib
+from array import array as array_of_u32
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,14 @@ SHARD_TOKENS = 1 << 20
 #: Rows of one range of doc ids: the unit that is dealt out and sorted.
 RANGE_ROWS = 2000
 #: Pieces of one generation of a worker's memory; there are two.
-CACHE_PIECES = 400_000
-_TAIL = '.,;:!?|%$&#*()"'
+CACHE_PIECES = 600_000
+#: Characters of one group of texts encoded together.
+GROUP_CHARS = 8 << 20
+_TAIL = r'(\p{L})([.,;:!?|%$&#*()"]+)( |$)'
+#: Marks a piece that no space precedes; texts that hold it are encoded whole.
+_FIRST = "\x01"
+#: White space other than single spaces and line feeds between non-spaces.
+_ODD = r"[\x01\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 _MAGIC, _VERSION, _BLOCK = b"SFWM", 1, 512
 _HEAD = struct.Struct("<4sIIQQI")
 
@@ -64,22 +71,28 @@ class WaveletMatrix:
     def build(cls, symbols: np.ndarray) -> WaveletMatrix:
         symbols = np.asarray(symbols, np.uint32)
         levels = max(1, int(symbols.max()).bit_length()) if len(symbols) else 1
-        planes, rest = [], symbols
+        rest = symbols.astype(np.uint16 if levels <= 16 else np.uint32)
+        planes = []
         for shift in range(levels - 1, -1, -1):
-            bit = (rest >> np.uint32(shift) & np.uint32(1)).astype(bool)
+            bit = (rest & rest.dtype.type(1 << shift)).astype(bool)
             planes.append(bit)
-            rest = np.concatenate([rest[~bit], rest[bit]])
+            ones = rest[bit]
+            np.compress(~bit, rest, out=(below := np.empty_like(rest))[: len(rest) - len(ones)])
+            below[len(rest) - len(ones) :] = ones
+            rest = below
         return cls(planes, len(symbols))
 
     def symbols(self) -> np.ndarray:
         """The whole sequence: undo the stable partitions from the last plane up."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for shift, (bit, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
+            values[zeros:] |= kind(1 << shift)
             above = np.empty_like(values)
-            above[~bit] = values[:zeros]
-            above[bit] = values[zeros:] | np.uint32(1 << shift)
+            np.place(above, bit, values[zeros:]) if zeros < self.n else None
+            np.place(above, ~bit, values[:zeros]) if zeros else None
             values = above
-        return values
+        return values.astype(np.uint32)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones of a plane before position ``i``: a block's count, then the rest of it."""
@@ -190,11 +203,11 @@ class PieceEncoder:
 
     A byte-level file splits text by a pattern whose matches never cross a place between
     a non-space and one space or line feed that a non-space follows, so pieces cut there
-    can be encoded alone. Texts with other white space are cut by the exact pattern.
-    """
+    can be encoded alone. Texts with other white space go to the library whole.
 
-    _odd = re.compile(r"[^\S \n]|[\x1c-\x1f]|^[ \n]|[ \n]$|[ \n][ \n]")
-    _cut = re.compile(r"(?<=\S)(?= \S)")
+    Arrow cuts the texts of a batch and numbers their distinct pieces, Python looks up one
+    entry for each distinct piece, and numpy lays the ids out: nothing is done word by word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,8 +218,9 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         level = self.tokenizer.pre_tokenizer.__getstate__().decode()
         plain = '"ByteLevel"' in level and '"add_prefix_space":false' in level and '"use_regex":true' in level and self.tokenizer.normalizer is None
-        self.cuts = plain and not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = plain and not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added)
+        self.odd = "|".join([_ODD, *(re.escape(x.content) for x in added)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -214,62 +228,74 @@ class PieceEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        pieces: list[list[str] | None] = []
+        """Ids of each text, in groups of bounded size."""
+        out: list[np.ndarray] = []
+        group: list[str] = []
+        size = 0
         for text in texts:
-            if not text:
-                pieces.append([])
-            elif not self.cuts or any(x in text for x in self.special):
-                pieces.append(None)
-            elif self._odd.search(text):
-                pieces.append(None)
-            else:
-                own: list[str] = []
-                for k, line in enumerate(text.split("\n")):
-                    first, *rest = line.split(" ")
-                    if k:
-                        own.append("\n")
-                    own.append(first)
-                    own += [" " + x for x in rest]
-                pieces.append(own)
-        known = self._known(set(chain.from_iterable(x for x in pieces if x)))
-        return [
-            np.array(self._whole([text])[0], np.uint32) if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32)
-            for text, own in zip(texts, pieces, strict=True)
-        ]
-
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
-        """The memory with all wanted pieces in it, each as packed ids.
+            group.append(text or "")
+            size += len(group[-1])
+            if size > GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group) if group else out
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        array = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(array, self.odd).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        odd |= pc.equal(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            if texts[k]:
+                out[k] = np.array(self._whole([texts[k]])[0], np.uint32)
+        rows = np.flatnonzero(~odd)
+        if not len(rows):
+            return out
+        # A piece after a space stands for itself with that space; one after a line feed, or
+        # the first, is marked instead.
+        empty = pa.scalar("", pa.large_string())
+        marked = pc.binary_join_element_wise(empty, pc.replace_substring(array.take(pa.array(rows)), "\n", f" \n {_FIRST}"), pa.scalar(_FIRST, pa.large_string()))
+        # Punctuation after a letter is a match of its own: stem and tail become two pieces.
+        marked = pc.replace_substring_regex(marked, _TAIL, f"\\1 {_FIRST}\\2\\3")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        packed = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = np.frombuffer(b"".join(packed), np.uint32)
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        starts = (np.cumsum(sizes) - sizes)[codes]
+        laid = ids[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for k, row in enumerate(rows.tolist()):
+            out[row] = laid[bounds[k] : bounds[k + 1]]
+        return out
+
+    def _known(self, wanted: list[str]) -> list[bytes]:
+        """The packed ids of each wanted piece.
 
         Two generations: a full young one becomes the old one, whose pieces return when
         they are wanted again, so that frequent pieces stay and the size is bounded.
         """
-        if len(self.young) + len(wanted) > CACHE_PIECES:
+        if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for x in wanted:
-            if x not in young:
-                ids = old.get(x)
-                if ids is None:
-                    new.append(x)
-                else:
-                    young[x] = ids
-        # Punctuation after a letter is a match of its own, so stem and tail are encoded apart.
-        ends, alone = {}, set()
-        for x in new:
-            stem = x.rstrip(_TAIL)
-            if len(stem) < len(x) and stem[-1:].isalpha():
-                ends[x] = (stem, x[len(stem) :])
-                alone.update(ends[x])
+        young, old = self.young, self.old
+        found = list(map(young.get, wanted))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        unknown = []
+        for k in new:
+            ids = old.get(wanted[k])
+            if ids is None:
+                unknown.append(k)
             else:
-                alone.add(x)
-        alone = [x for x in alone if x not in young]
-        for k in range(0, len(alone), 20_000):
-            part = alone[k : k + 20_000]
-            young.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self._whole(part)), strict=True))
-        for x, (stem, tail) in ends.items():
-            young[x] = young[stem] + young[tail]
-        return young
+                young[wanted[k]] = found[k] = ids
+        for at in range(0, len(unknown), 20_000):
+            part = [wanted[k] for k in unknown[at : at + 20_000]]
+            plain = [x if x == "\n" else x[1:] if x[0] == _FIRST else " " + x for x in part]
+            for k, x, ids in zip(unknown[at : at + 20_000], part, self._whole(plain), strict=True):
+                young[x] = found[k] = array_of_u32("I", ids).tobytes()
+        return found
 
 
 @lru_cache(maxsize=2)
