@@ -12,6 +12,9 @@ from spanforge.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality
 from spanforge.llm.common import published, read_table
 from spanforge.llm.queries import tokenizer_path
 
+#: Per cent of shared 5-word shingles from which documents are near duplicates.
+NEAR_LINK = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows and keep the documents predicted 1."""
@@ -24,8 +27,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return minhash_dedup.without_copies(docs)
+    """Keep one document of each group of near duplicates (similarity 0.8; the 0.85 is op 7's)."""
+    return minhash_dedup.without_copies(docs, NEAR_LINK)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

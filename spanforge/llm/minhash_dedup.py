@@ -3,20 +3,21 @@
 1. Each text becomes its set of 5-word shingles and a MinHash signature of ``COORDINATES``
    values. Texts with the same set form a class; only classes go on.
 2. A class is posted under its coordinate-value pairs. Pairs held by one class alone can't
-   collide; a class with fewer than ``MIN_MATCHES`` others can't reach the match threshold
-   and goes. The rest is posted under its rarest ``COORDINATES - MIN_MATCHES + 1`` pairs
-   (prefix principle: classes that agree in MIN_MATCHES coordinates share one of these).
+   collide; a class with fewer than ``min_matches`` others can't reach the match threshold
+   and goes. The rest is posted under its rarest ``COORDINATES - min_matches + 1`` pairs
+   (prefix principle: classes that agree in min_matches coordinates share one of these).
    No pairs are made: postings name the least class of their list, and the connected
    components of these stars are families; linked classes lie in one family.
-3. Inside a family, classes are cut into cells by size (linked sets differ by 15 % at most,
-   so only the same and the next cell meet) and cells into blocks of bounded bytes. A task
+3. Inside a family, classes are cut into cells by size (the smaller of linked sets has
+   ``link`` % of the larger at least, so only the same and the next cell meet) and cells into blocks of bounded bytes. A task
    gets two blocks, counts collisions of whole signatures, skips pairs that are connected
    already, and confirms the others on the full sets. It returns a spanning forest of the
    links found, so a group of n copies never gives n^2 rows.
 4. Components of these links, then of classes, give the answer.
 
-The threshold of matches is set where a pair of similarity 0.85 falls short with a chance
-below 1e-6; there is no cap on lists, candidates or partners.
+The similarity from which texts are linked is a parameter; the threshold of matches, prefix
+length and cells follow from it. The threshold is set where a pair of just that similarity
+falls short with a chance below 1e-6; there is no cap on lists, candidates or partners.
 
 Defined results: without words (or text) a document has an empty set and is linked with
 nothing; with one to four words, the sequence is its one shingle. Rows that share a doc_id
@@ -28,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,11 @@ from spanforge.llm.common import WORD, arrow_batches, ascii_lower, published
 from spanforge.llm.components import components
 
 SHINGLE = 5
-#: Links: 100 * |A and B| >= LINK * |A or B|.
+#: Links: 100 * |A and B| >= link * |A or B|; the link of op 7's contract.
 LINK = 85
 COORDINATES = 64
-#: Binomial(64, 0.85) lies below 39 with a chance of about 5e-7.
-MIN_MATCHES = 39
+#: Most chance that a pair of similarity ``link`` agrees in fewer than min_matches coordinates.
+MISS = 1e-6
 #: Bytes of the sets of one block, about.
 BLOCK_BYTES = 8 << 20
 #: Most ids in a broadcast; beyond, ids are joined by a shuffle.
@@ -53,6 +55,17 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=8)
+def min_matches(link: int) -> int:
+    """The most matches that a pair of similarity ``link`` % misses with a chance below MISS."""
+    share, below = link / 100, 0.0
+    for k in range(COORDINATES):
+        below += comb(COORDINATES, k) * share**k * (1 - share) ** (COORDINATES - k)
+        if below >= MISS:
+            return k
+    return COORDINATES
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -117,16 +130,17 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("class", "sig").mapInArrow(run, "class long, token long")
 
 
-def families(classes: DataFrame) -> DataFrame:
+def families(classes: DataFrame, link: int = LINK) -> DataFrame:
     """``class, family`` of the classes that may be linked with another."""
+    matches = min_matches(link)
     posted = _postings(classes)
     shared = published(posted.groupBy("token").agg(F.count("*").alias("held"), F.min("class").alias("least")).where("held > 1"), "dedup-tokens")
     # Join back: a hot list is a skewed key of an inner join, which is split at run time.
     known = posted.join(shared, "token")
-    ranked = known.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("held", "token", "least"))).alias("own")).where(F.size("own") >= MIN_MATCHES)
-    # The prefix holds COORDINATES - MIN_MATCHES + 1 pairs, the rarest first; those held by
+    ranked = known.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("held", "token", "least"))).alias("own")).where(F.size("own") >= matches)
+    # The prefix holds COORDINATES - matches + 1 pairs, the rarest first; those held by
     # this class alone are the rarest of all and take up places.
-    free = F.lit(COORDINATES - MIN_MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))
+    free = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("own"))
     prefix = ranked.select("class", F.explode(F.slice("own", F.lit(1), F.greatest(free, F.lit(1)))).alias("p"))
     stars = published(prefix.select(F.col("p.least").alias("a"), F.col("class").alias("b")).distinct(), "dedup-stars")
     return stars
@@ -137,10 +151,10 @@ def _joined(stars: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("class"), F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("class"), F.col("root").alias("family")).distinct())
 
 
-def _cell(n):
-    """Size cell: sets of similarity LINK % lie in the same or the next cell."""
+def _cell(n, link: int):
+    """Size cell: sets of similarity ``link`` % lie in the same or the next cell."""
     # a hair wider than the exact step, so that rounding never parts them by two cells
-    return F.floor(F.log(n) / F.lit(float(np.log(100 / LINK)) * (1 + 1e-9))).cast("long")
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / link)) * (1 + 1e-9))).cast("long")
 
 
 class _Union:
@@ -161,9 +175,10 @@ class _Union:
         return True
 
 
-def links_between(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def links_between(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, link: int = LINK) -> list[tuple[int, int]]:
     """A spanning forest of the links among rows of two blocks (``side``: 0, 1 or, for
     a block that meets itself, 2 for all)."""
+    matches = min_matches(link)
     sizes = np.array([len(s) for s in sets])
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -178,8 +193,8 @@ def links_between(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, side
             continue
         # size, then collisions, then the skip of what is connected, then the full sets
         low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        rest = rest[100 * low >= LINK * high]
-        rest = rest[(sigs[rest] == sigs[i]).sum(1) >= MIN_MATCHES]
+        rest = rest[100 * low >= link * high]
+        rest = rest[(sigs[rest] == sigs[i]).sum(1) >= matches]
         rest = rest[root[rest] != root[i]]
         if not len(rest):
             continue
@@ -188,14 +203,14 @@ def links_between(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, side
         held = mark[np.concatenate([local[bounds[j] : bounds[j + 1]] for j in rest])]
         common = np.add.reduceat(held, at[:-1], dtype=np.int64)
         mark[local[bounds[i] : bounds[i + 1]]] = False
-        for j in rest[100 * common >= LINK * (sizes[rest] + sizes[i] - common)]:
+        for j in rest[100 * common >= link * (sizes[rest] + sizes[i] - common)]:
             if union.join(i, int(j)):
                 out.append((ids[i], ids[int(j)]))
                 root = np.where(root == max(root[i], root[j]), min(root[i], root[j]), root)
     return out
 
 
-def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(members: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """Edges ``a, b``: links confirmed on the full sets, reduced to spanning forests.
 
     ``members``: ``class, family, fp, n_shingles, sig``.
@@ -216,7 +231,7 @@ def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], ["class", "family", "fp", "n", "raw", "sig"])
 
     held = published(picked.mapInArrow(sets, "class long, family long, fp binary, n long, raw binary, sig binary"), "dedup-sets")
-    celled = held.withColumn("cell", _cell(F.col("n")))
+    celled = held.withColumn("cell", _cell(F.col("n"), link))
     blocks = celled.groupBy("family", "cell").agg(F.greatest(F.ceil(F.sum(F.col("n") * 8 + 4 * COORDINATES + 64) / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
     blocks = published(blocks, "dedup-blocks")
     above = blocks.select("family", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("over"))
@@ -239,20 +254,20 @@ def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
         found: list[tuple[int, int]] = []
         if len(side) > 1 and (side[0] == 2 or 0 < side.sum() < len(side)):
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
-            found = links_between(table.column("class").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("raw").to_pylist()], sigs, side)
+            found = links_between(table.column("class").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("raw").to_pylist()], sigs, side, link)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return spread.groupBy("family", "cell", "up", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row."""
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row; texts of similarity ``link`` % or more are linked."""
     rows = published(sketched(docs), "dedup-sketches")
     some = rows.where("doc_id is not null and fp is not null")
     classes = published(some.groupBy("fp").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "dedup-classes")
-    family = published(_joined(families(classes)), "dedup-families")
+    family = published(_joined(families(classes, link)), "dedup-families")
     members = classes.join(family, "class").select("class", "family", "fp", "n_shingles", "sig")
-    root = components(_verified(published(members.drop("sig"), "dedup-members"), docs))
+    root = components(_verified(published(members.drop("sig"), "dedup-members"), docs, link))
     # nodes are doc ids: an id that is in several classes joins them
     labelled = classes.join(root, F.col("class") == F.col("node"), "left").select("fp", "copies", F.coalesce("root", "class").alias("component_id"))
     labelled = published(labelled, "dedup-labels")
@@ -266,9 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one of each group stays."""
-    found = published(near_duplicates(docs), "dedup-result")
+    found = published(near_duplicates(docs, link), "dedup-result")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

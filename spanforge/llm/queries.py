@@ -47,7 +47,7 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_signature_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), link=85)
 
 
 def op8_adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
