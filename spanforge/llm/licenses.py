@@ -7,8 +7,11 @@ and only their rules run. Of overlapping detections, one whose interval lies ins
 another's of the same or a higher priority goes (of equal intervals, the one of lower
 priority, then the later rule); the labels of the rest, in order, are the result.
 
-The rules are families times forms: each licence has hand-written names and versions, and
-each form is a hand-written phrase around a name (tag, notice, grant, link and so on).
+The rules are, first, families times forms: each licence has hand-written names and
+versions, and each form is a hand-written phrase around a name (tag, notice, grant, link and
+so on). Signatures are hand-written short names (GPLv3, 3-clause BSD) in the same forms.
+Notices are phrases of licence texts. SPDX ids count only inside an SPDX expression, whose
+operands are found each at its own place.
 
 Defined results: a null text is an empty text, with no words, no places and score 0.
 Rows are kept one for one.
@@ -34,7 +37,8 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 _GAP = rb"[^0-9a-z\x80-\xff]+"
 _EDGE = rb"(?<![0-9a-z\x80-\xff])%s(?![0-9a-z\x80-\xff])"
 
-#: Families: label, keyword, names (words; a version follows where one is listed).
+#: Families: label, keyword, names (words; a version follows where one is listed). A name
+#: without the family's keyword is a keyword itself.
 FAMILIES = (
     ("apache", "apache", ("apache license", "apache software license", "apache licence"), ("2 0", "1 1", "1 0")),
     ("mit", "mit", ("mit license", "mit licence", "mit x11 license"), ()),
@@ -82,6 +86,79 @@ FAMILIES = (
     ("cc-by", "creative commons", ("creative commons attribution",), ("4 0", "3 0")),
     ("cc0", "cc0", ("cc0", "creative commons zero"), ("1 0",)),
 )
+#: What may stand between a short name and its version: ``GPLv3``, ``GPL v3``, ``GPL-3``.
+_V = "(?: version | v(?: )?|v| )?"
+#: Signatures: label, keyword, pattern of a short name with its version.
+SIGNATURES = (
+    ("gpl-3", "gpl", f"(?:gnu )?gpl{_V}3(?: 0)?"),
+    ("gpl-2", "gpl", f"(?:gnu )?gpl{_V}2(?: 0)?"),
+    ("gpl-1", "gpl", f"(?:gnu )?gpl{_V}1(?: 0)?"),
+    ("gpl", "gnu gpl", "gnu gpl"),
+    ("lgpl-3", "lgpl", f"(?:gnu )?lgpl{_V}3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", f"(?:gnu )?lgpl{_V}2 1"),
+    ("lgpl-2", "lgpl", f"(?:gnu )?lgpl{_V}2(?: 0)?"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
+    ("agpl-3", "agpl", f"(?:gnu )?agpl{_V}3(?: 0)?"),
+    ("agpl-1", "agpl", f"agpl{_V}1(?: 0)?"),
+    ("agpl", "agpl", "(?:gnu )?agpl"),
+    ("fdl-1.3", "gfdl", f"gfdl{_V}1 3"),
+    ("fdl-1.2", "gfdl", f"gfdl{_V}1 2"),
+    ("fdl-1.1", "gfdl", f"gfdl{_V}1 1"),
+    ("fdl", "gfdl", "gfdl"),
+    ("apache-2.0", "apache", f"apache{_V}2(?: 0)? licen[cs]e"),
+    ("apache-2.0", "asl", f"asl{_V}2 0"),
+    ("apache-1.1", "apache", f"apache{_V}1 1 licen[cs]e"),
+    ("mpl-2.0", "mpl", f"mpl{_V}2 0"),
+    ("mpl-1.1", "mpl", f"mpl{_V}1 1"),
+    ("mpl-1.0", "mpl", f"mpl{_V}1 0"),
+    ("epl-2.0", "epl", f"epl{_V}2 0"),
+    ("epl-1.0", "epl", f"epl{_V}1 0"),
+    ("cddl-1.1", "cddl", f"cddl{_V}1 1"),
+    ("cddl-1.0", "cddl", f"cddl{_V}1 0"),
+    ("eupl-1.2", "eupl", f"eupl{_V}1 2"),
+    ("eupl-1.1", "eupl", f"eupl{_V}1 1"),
+    ("ofl-1.1", "ofl", f"(?:sil )?ofl{_V}1 1"),
+    ("bsd-4.clause", "bsd", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd)(?: licen[cs]e)?"),
+    ("bsd-3.clause", "bsd", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[cs]e)?"),
+    ("bsd-2.clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[cs]e)?"),
+    ("bsd-0.clause", "bsd", "(?:bsd (?:0|zero) clause|(?:0|zero) clause bsd)(?: licen[cs]e)?"),
+    ("bsd-4.clause", "original bsd", "original bsd licen[cs]e"),
+    ("bsd-3.clause", "bsd", "(?:new|modified|revised) bsd licen[cs]e"),
+    ("bsd-2.clause", "bsd", "(?:simplified bsd|freebsd) licen[cs]e"),
+    ("mit", "expat", "expat licen[cs]e"),
+    ("mit", "mit x11", "mit x11"),
+    ("isc", "isc", "isc licen[cs]e"),
+    ("zlib", "zlib", "zlib licen[cs]e"),
+    ("boost-1.0", "bsl", f"bsl{_V}1 0"),
+)
+#: SPDX short ids (lower case) and their labels.
+SPDX = {
+    "0bsd": "bsd-0.clause", "bsd-1-clause": "bsd-1.clause", "bsd-2-clause": "bsd-2.clause", "bsd-2-clause-patent": "bsd-2.clause-patent", "bsd-3-clause": "bsd-3.clause",
+    "bsd-3-clause-clear": "bsd-3.clause-clear", "bsd-3-clause-lbnl": "bsd-3.clause-lbnl", "bsd-4-clause": "bsd-4.clause", "bsd-4-clause-uc": "bsd-4.clause", "bsd-source-code": "bsd",
+    "mit": "mit", "mit-0": "mit-0", "x11": "mit", "isc": "isc", "ncsa": "ncsa", "zlib": "zlib", "libpng": "libpng", "libpng-2.0": "libpng-2.0",
+    "apache-1.0": "apache-1.0", "apache-1.1": "apache-1.1", "apache-2.0": "apache-2.0",
+    "gpl-1.0": "gpl-1", "gpl-1.0-only": "gpl-1", "gpl-1.0-or-later": "gpl-1", "gpl-1.0+": "gpl-1", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-2.0+": "gpl-2",
+    "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-3.0+": "gpl-3",
+    "lgpl-2.0": "lgpl-2", "lgpl-2.0-only": "lgpl-2", "lgpl-2.0-or-later": "lgpl-2", "lgpl-2.0+": "lgpl-2", "lgpl-2.1": "lgpl-2.1", "lgpl-2.1-only": "lgpl-2.1", "lgpl-2.1-or-later": "lgpl-2.1",
+    "lgpl-2.1+": "lgpl-2.1", "lgpl-3.0": "lgpl-3", "lgpl-3.0-only": "lgpl-3", "lgpl-3.0-or-later": "lgpl-3", "lgpl-3.0+": "lgpl-3", "lgpllr": "lgpllr",
+    "agpl-1.0": "agpl-1", "agpl-1.0-only": "agpl-1", "agpl-1.0-or-later": "agpl-1", "agpl-3.0": "agpl-3", "agpl-3.0-only": "agpl-3", "agpl-3.0-or-later": "agpl-3",
+    "gfdl-1.1": "fdl-1.1", "gfdl-1.1-only": "fdl-1.1", "gfdl-1.1-or-later": "fdl-1.1", "gfdl-1.2": "fdl-1.2", "gfdl-1.2-only": "fdl-1.2", "gfdl-1.2-or-later": "fdl-1.2",
+    "gfdl-1.3": "fdl-1.3", "gfdl-1.3-only": "fdl-1.3", "gfdl-1.3-or-later": "fdl-1.3",
+    "mpl-1.0": "mpl-1.0", "mpl-1.1": "mpl-1.1", "mpl-2.0": "mpl-2.0", "mpl-2.0-no-copyleft-exception": "mpl-2.0", "epl-1.0": "epl-1.0", "epl-2.0": "epl-2.0",
+    "cddl-1.0": "cddl-1.0", "cddl-1.1": "cddl-1.1", "eupl-1.0": "eupl-1.0", "eupl-1.1": "eupl-1.1", "eupl-1.2": "eupl-1.2", "cpl-1.0": "cpl-1.0", "ipl-1.0": "ipl-1.0",
+    "artistic-1.0": "artistic-1.0", "artistic-1.0-perl": "artistic-1.0", "artistic-2.0": "artistic-2.0", "bsl-1.0": "boost-1.0", "busl-1.1": "busl-1.1",
+    "psf-2.0": "psf-2", "python-2.0": "psf-2", "php-3.0": "php-3.0", "php-3.01": "php-3.01", "ofl-1.0": "ofl-1.0", "ofl-1.1": "ofl-1.1", "unlicense": "unlicense", "wtfpl": "wtfpl",
+    "odbl-1.0": "odbl-1.0", "pddl-1.0": "pddl-1.0", "odc-by-1.0": "odc-by-1.0", "ogl-uk-1.0": "ogl-1.0", "ogl-uk-2.0": "ogl-2.0", "ogl-uk-3.0": "ogl-3.0",
+    "ms-pl": "ms-pl", "ms-rl": "ms-rl", "openssl": "openssl", "cecill-2.0": "cecill-2.0", "cecill-2.1": "cecill-2.1", "cecill-b": "cecill-b", "cecill-c": "cecill-c",
+    "upl-1.0": "upl-1.0", "afl-2.1": "afl-2.1", "afl-3.0": "afl-3.0", "osl-2.1": "osl-2.1", "osl-3.0": "osl-3.0", "ruby": "ruby", "tcl": "tcl", "vim": "vim", "curl": "curl",
+    "postgresql": "postgresql", "hpnd": "hpnd", "ntp": "ntp", "w3c": "w3c", "unicode-dfs-2016": "unicode", "unicode-3.0": "unicode", "blueoak-1.0.0": "blueoak-1.0.0", "mulanpsl-2.0": "mulanpsl-2.0",
+    "sleepycat": "sleepycat", "qpl-1.0": "qpl-1.0", "lppl-1.3c": "lppl-1.3c", "icu": "icu", "ijg": "ijg", "ftl": "ftl", "beerware": "beerware", "sspl-1.0": "sspl-1.0",
+    "cc0-1.0": "cc0-1.0", "cc-pddc": "public-domain",
+    **{f"cc-{k}-{v}": f"cc-{k}-{v}" for k in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+}
+#: An SPDX expression after its tag, and one id of it.
+_EXPRESSION = re.compile(rb"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff\r\n]+([0-9a-z][0-9a-z.+\-]*(?:[ \t()]+(?:and|or|with)[ \t()]+[0-9a-z][0-9a-z.+\-]*)*)")
+_OPERAND = re.compile(rb"[0-9a-z][0-9a-z.+\-]*")
 #: Forms: pattern around a name, priority (higher first), confidence.
 FORMS = (
     ("spdx license identifier {}", 6, 1.0),
@@ -98,13 +175,17 @@ NOTICES = (
     ("(?:dedicated to|in|into) the public domain", "public domain", "public-domain", 3, 0.8),
     ("permission is hereby granted free of charge", "permission is hereby", "mit", 4, 0.9),
     ("redistribution and use in source and binary forms", "redistribution and use", "bsd", 4, 0.9),
-    ("permission to use copy modify and or distribute this software", "permission to use", "isc", 4, 0.9),
-    ("(?:proprietary|confidential) and (?:proprietary|confidential)", "proprietary", "proprietary", 2, 0.6),
+    ("permission to use copy modify (?:and or|and) distribute this software", "permission to use", "isc", 4, 0.9),
+    ("proprietary and (?:proprietary|confidential)", "proprietary and", "proprietary", 2, 0.6),
+    ("confidential and (?:proprietary|confidential)", "confidential and", "proprietary", 2, 0.6),
     ("may not be reproduced", "may not be reproduced", "reserved", 2, 0.6),
     ("copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", "copyright", 1, 0.4),
 )
-#: Every keyword holds one of these; a text without any has no licence.
-GATES = (b"licen", b"reserved", b"cc", b"gpl", b"wtf", b"commons", b"public", b"permission", b"redistribution", b"proprietary", b"reproduced", b"copyright", b"spdx")
+#: Every match holds one of these; a text without any has no licence.
+GATES = (
+    b"licen", b"reserved", b"cc", b"gpl", b"wtf", b"commons", b"public", b"permission", b"redistribution", b"proprietary", b"confidential", b"reproduced", b"copyright", b"spdx",
+    b"gfdl", b"asl", b"mpl", b"epl", b"cddl", b"eupl", b"ofl", b"bsd", b"x11", b"bsl",
+)
 
 
 @dataclass(frozen=True)
@@ -127,18 +208,38 @@ def rules() -> tuple[Rule, ...]:
     for label, keyword, names, versions in FAMILIES:
         for name in names:
             for version in (*versions, ""):
-                full = name + (f"(?: (?:version|v))? {version}" if version else "")
+                full = name + (f"(?: version | v(?: )?| ){version}" if version else "")
                 tag = label + (f"-{version.replace(' ', '.')}" if version else "")
                 for form, priority, confidence in FORMS:
-                    found.append(Rule(_compiled(form.format(full)), keyword, tag, priority + bool(version), confidence))
+                    found.append(Rule(_compiled(form.format(full)), keyword if keyword in name else name, tag, priority + bool(version), confidence))
+    found += [Rule(_compiled(form.format(p)), k, label, priority + 1, confidence) for label, k, p in SIGNATURES for form, priority, confidence in FORMS]
     found += [Rule(_compiled(p), k, *rest) for p, k, *rest in NOTICES]
+    found += [Rule(re.compile(re.escape(k.encode())), "spdx license identifier", label, 8, 1.0) for k, label in SPDX.items()]
     return tuple(found)
 
 
+@lru_cache(maxsize=1)
+def _spdx_rules() -> dict[bytes, int]:
+    """Rule of each SPDX id: the last ones, in order."""
+    return {k.encode(): len(rules()) - len(SPDX) + i for i, k in enumerate(SPDX)}
+
+
+def _operands(low: bytes) -> list[tuple[int, int, int]]:
+    """``start, end, rule`` of each known id in the SPDX expressions; the first starts at the tag."""
+    found = []
+    for m in _EXPRESSION.finditer(low):
+        for x in _OPERAND.finditer(low, m.start(1), m.end(1)):
+            name = x[0].rstrip(b".-")
+            known = next((k for k in (name, name.rstrip(b"+")) if k in _spdx_rules()), None)
+            if known is not None:
+                found.append((m.start() if x.start() == m.start(1) else x.start(), x.start() + len(name), _spdx_rules()[known]))
+    return found
+
+
 @lru_cache(maxsize=1)
 def _by_keyword() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     places: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules()):
+    for k, rule in enumerate(rules()[: -len(SPDX)]):
         places.setdefault(rule.keyword, []).append(k)
     automaton = ahocorasick.Automaton()
     for keyword in places:
@@ -172,6 +273,8 @@ def detect(low: bytes) -> list[tuple[int, int, Rule]]:
     flat = re.sub(_GAP, b" ", low).decode("utf-8", "replace")
     wanted = sorted({k for _, word in automaton.iter(flat) for k in places[word]})
     spans = [(m.start(), m.end(), rules()[k].priority, k) for k in wanted for m in rules()[k].pattern.finditer(low)]
+    if b"spdx" in low:
+        spans += [(a, b, rules()[k].priority, k) for a, b, k in _operands(low)]
     return [(a, b, rules()[k]) for a, b, _, k in suppressed(spans)]
 
 

@@ -3,7 +3,8 @@
 import random
 import re
 
-from spanforge.llm import minhash_dedup
+import pytest
+from spanforge.llm import licenses, minhash_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +50,61 @@ def test_pipeline_links_copies_from_eighty_percent(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_deduplication(spark, _docs(spark, rows), "").collect()}
     assert kept == {i for i, r in _roots(rows, 80).items() if i == r} and len(kept) == 80
     assert (minhash_dedup.min_matches(85), minhash_dedup.min_matches(80)) == (39, 34)
+
+
+def _sample(rng, parsed):
+    """A random match of a parsed pattern, its edges left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "SUBPATTERN":
+            out += _sample(rng, arg[3])
+        elif op == "BRANCH":
+            out += _sample(rng, rng.choice(arg[1]))
+        elif op == "MAX_REPEAT":
+            out += "".join(_sample(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op == "IN":
+            out += rng.choice(" -") if str(arg[0][0]) == "NEGATE" else chr(rng.randint(*arg[0][1]) if str(arg[0][0]) == "RANGE" else rng.choice(arg)[1])
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_every_rule_is_behind_a_keyword_and_a_gate_it_holds():
+    rng = random.Random(2)
+    for rule in licenses.rules()[: -len(licenses.SPDX)]:
+        for _ in range(4):
+            text = _sample(rng, re._parser.parse(rule.pattern.pattern.decode("latin-1")))
+            low = text.encode()
+            assert rule.pattern.search(low), (rule, text)
+            assert rule.keyword in re.sub("[^0-9a-z]+", " ", text), (rule, text)
+            assert any(g in low for g in licenses.GATES), (rule, text)
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("berkeley software distribution license", "bsd"),
+        ("internet systems consortium license", "isc"),
+        ("creative commons zero", "cc0"),
+        ("confidential and confidential", "proprietary"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "apache-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3.clause"),
+        ("SPDX-License-Identifier: BSD-3-Clause-Clear", "bsd-3.clause-clear"),
+        ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+        ("<!-- SPDX-License-Identifier: (MIT-0 OR LGPL-2.1+) AND GPL-2.0-only WITH Classpath-exception-2.0 -->", "gpl-2,lgpl-2.1,mit-0"),
+        ("SPDX-License-Identifier: MIT\nisc is not named here", "mit"),
+        ("BSD 3-Clause License", "bsd-3.clause"),
+        ("under the 2-clause BSD license", "bsd-2.clause"),
+        ("The GNU GPLv3, or LGPLv2.1, or AGPL-3.0", "agpl-3,gpl-3,lgpl-2.1"),
+        ("GNU General Public License v3.0", "gpl,gpl-3"),
+        ("Apache License v2.0", "apache-2.0"),
+        ("mit is a German word, as isc is none", ""),
+    ],
+)
+def test_licence_names(text, labels):
+    assert licenses.scan(text)[5] == labels
