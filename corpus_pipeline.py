@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rewrite texts without their source's boilerplate lines."""
-    return line_dedup.drop_boilerplate(docs)
+    """Rewrite texts without their source's boilerplate lines; only pages of nothing else stay whole."""
+    return line_dedup.drop_boilerplate(docs, only_copies=True)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ are rewritten in place: no text is ever shuffled on the broadcast way.
 Lines are compared without blanks, tabs and carriage returns at their ends; blank lines are
 never counted nor dropped. A page of ``WHOLE_LINES`` lines or more of which boilerplate
 makes up over ``WHOLE_SHARE`` of the characters is a copy of a page, not a page with a
-template: it is left whole, for near-duplicate removal to judge.
+template: it is left whole, for near-duplicate removal to judge. That share is op 5's, as its
+statement has it; with ``only_copies`` a page is left whole only where every line is listed,
+and listed lines go from all others.
 
 Defined results: a null text stays null and holds no lines; a text that is nothing but one
 or two boilerplate lines becomes empty. A null host is a host of its own. Every row counts
@@ -54,7 +56,7 @@ def boilerplate(docs: DataFrame, host: str, text: str) -> DataFrame:
     return published(over.groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad")), "boilerplate")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", report: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", report: bool = False, only_copies: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines; with ``report``, also n_lines, n_dropped, left_whole."""
     lists = boilerplate(docs, host, text).select(F.col("host").alias("__ld_host"), F.col("bad").alias("__ld_bad"))
     columns = docs.columns
@@ -73,7 +75,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     total = F.aggregate("__ld_lines", F.lit(0), lambda a, x: a + x["n"])
     gone = F.aggregate("__ld_lines", F.lit(0), lambda a, x: a + F.when(x["b"], x["n"]).otherwise(0))
     count = F.size(F.filter("__ld_lines", lambda x: x["n"] > 0))
-    marked = marked.withColumns({"__ld_n": F.when(F.col("__ld_lines").isNull(), 0).otherwise(count), "__ld_whole": F.coalesce((count >= WHOLE_LINES) & (gone > WHOLE_SHARE * total), F.lit(False))})
+    copy = gone == total if only_copies else gone > WHOLE_SHARE * total
+    marked = marked.withColumns({"__ld_n": F.when(F.col("__ld_lines").isNull(), 0).otherwise(count), "__ld_whole": F.coalesce((count >= WHOLE_LINES) & copy, F.lit(False))})
     kept = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x["b"]), lambda x: x["s"]), "\n")
     new = F.when(F.col("__ld_bad").isNull() | F.col("__ld_whole") | F.col("__ld_lines").isNull(), F.col(text)).otherwise(kept)
     out = marked.withColumn("__ld_text", new)

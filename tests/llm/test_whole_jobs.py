@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from spanforge.llm import licenses, minhash_dedup
+from spanforge.llm import licenses, line_dedup, minhash_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -108,3 +108,16 @@ def test_every_rule_is_behind_a_keyword_and_a_gate_it_holds():
 )
 def test_licence_names(text, labels):
     assert licenses.scan(text)[5] == labels
+
+
+def test_pipeline_drops_boilerplate_of_short_pages(spark):
+    """A long template around one own line; a page of the template alone is a copy."""
+    import corpus_pipeline
+
+    menu = ["Home and news and weather and sport and all the rest", "Copyright of this site by its owners and nobody else"]
+    rows = [(k, "\n".join([menu[0], f"own {k}", menu[1]])) for k in range(30)] + [(100 + k, "\n".join([*menu, menu[0]])) for k in range(3)] + [(200, menu[0])]
+    docs = _docs(spark, rows)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert got == {i: (f"own {i}", len(f"own {i}")) if i < 100 else (t, len(t)) if i < 200 else ("", 0) for i, t in rows}
+    whole = {r.doc_id for r in line_dedup.drop_boilerplate(docs, report=True, only_copies=True).where("left_whole").collect()}
+    assert whole == {100, 101, 102}
