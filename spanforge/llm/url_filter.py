@@ -2,7 +2,8 @@
 
 Rules (host and path) decide the URLs they fit; the longest wins. For the rest, two smoothed
 variable-order Markov models are learned, one from the URLs that rules allow and one from
-those they block. A URL is read as symbols of a closed alphabet of 32; the chance of a
+those they block. They read the whole URL after its scheme, query and fragment too; host and
+path are the rules' only. A URL is read as symbols of a closed alphabet of 32; the chance of a
 symbol after a context is interpolated from orders 0 to ``ORDER`` (Witten-Bell: a context
 seen t times with d different successors leaves d / (t + d) to the shorter one). The score
 is the mean over the URL's symbols of log P_accepted - log P_rejected, and the cut is
@@ -13,8 +14,9 @@ Counts grow with the corpus, the model doesn't: it has at most 32 + 32^2 + 32^3
 rows of two numbers, which is the bound under which it is broadcast. Everything is
 DataFrame expressions; every count is pre-aggregated before it is shuffled.
 
-Defined results: a null URL or one without ``://`` has an empty host and path, no rule and
-no symbols. Where no rule allows or none blocks anything there is no ratio, and what has no
+Defined results: a null URL or one without ``://`` has an empty host and path and no rule;
+the models read one without ``://`` from its beginning. Null and empty URLs and those that
+end with their scheme have no symbols. Where no rule allows or none blocks anything there is no ratio, and what has no
 rule is allowed; so is a URL without symbols. Repeated rows come back as often as they came.
 """
 
@@ -49,6 +51,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def rest_of(url: Column) -> Column:
+    """What the models read: all behind the first ``://``, or the whole URL without one."""
+    return F.coalesce(F.regexp_replace(url, r"(?s)^.*?://(.*)$", "$1"), F.lit(""))
+
+
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """The longest rule that fits, or null. A rule fits its host and all subdomains."""
     found = F.lit(None).cast("string")
@@ -66,9 +73,9 @@ def verdict_of(rule: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Colu
     return found
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """Symbol numbers of a URL: 1 to 31."""
-    letters = F.split(F.regexp_replace(F.regexp_replace(F.lower(F.concat(host, path)), "[0-9]", "0"), r"[^a-z0./\-]", "?"), "")
+def symbols(rest: Column) -> Column:
+    """Symbol numbers of a URL without its scheme: 1 to 31."""
+    letters = F.split(F.regexp_replace(F.regexp_replace(F.lower(rest), "[0-9]", "0"), r"[^a-z0./\-]", "?"), "")
     return F.transform(F.filter(letters, lambda x: x != ""), lambda x: F.position(x, F.lit(ALPHABET)))
 
 
@@ -133,7 +140,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     # rows alike are judged once and counted, so a hot URL is pre-aggregated
     rows = named.groupBy("page_id", "url", "host", "path").agg(F.count("*").alias("copies")).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of(F.col("rule"), rules))
     rows = published(rows.withColumn("fold", F.pmod(F.crc32(F.concat("host", "path")), F.lit(CALIBRATION))), "url-rows")
-    spread = rows.select("page_id", "url", "copies", "ruled", "fold", F.explode_outer(grams(symbols(F.col("host"), F.col("path")))).alias("gram")).where(F.col("gram").isNotNull())
+    spread = rows.select("page_id", "url", "copies", "ruled", "fold", F.explode_outer(grams(symbols(rest_of(F.col("url"))))).alias("gram")).where(F.col("gram").isNotNull())
     learned = spread.where("ruled is not null and fold > 0").groupBy("gram").agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("r")
     )

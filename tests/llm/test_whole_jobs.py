@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from spanforge.llm import licenses, line_dedup, minhash_dedup
+from spanforge.llm import licenses, line_dedup, minhash_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,3 +121,12 @@ def test_pipeline_drops_boilerplate_of_short_pages(spark):
     assert got == {i: (f"own {i}", len(f"own {i}")) if i < 100 else (t, len(t)) if i < 200 else ("", 0) for i, t in rows}
     whole = {r.doc_id for r in line_dedup.drop_boilerplate(docs, report=True, only_copies=True).where("left_whole").collect()}
     assert whole == {100, 101, 102}
+
+
+def test_url_models_read_query_and_fragment(spark):
+    rows = [(k, f"http://good{k}.com/find?q=science-articles#{k}") for k in range(150)] + [(500 + k, f"http://bad{k}.net/es/find?q=casino-bonus#{k}") for k in range(150)]
+    rows += [(2000, "http://u.org/find?q=science-articles"), (2001, "http://u.org/find?q=casino-bonus"), (2002, "u.org/find?q=casino-bonus"), (2003, "u.org/find#casino-bonus\n"), (2004, ""), (2005, None), (2006, "http://")]
+    found = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(found) == len(rows) and [found[k].verdict for k in range(2000, 2007)] == ["allow", "block", "block", "block", "allow", "allow", "allow"]
+    assert (found[2000].host, found[2000].path) == (found[2001].host, found[2001].path) and found[2002].score is not None
+    assert [found[k].score for k in (2004, 2005, 2006)] == [None] * 3
