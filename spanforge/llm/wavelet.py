@@ -2,9 +2,10 @@
 
 Texts are encoded once, dealt by ranges of ``doc_id`` and sorted there; a task cuts a
 shard file whenever it has gathered ``SHARD_TOKENS`` ids, so no shard grows with the
-data. A shard file holds bit planes (most significant first, each with its rank
-directory) and answers ``access``, ``rank``, ``select``, ``count`` and ``occurrences``
-without turning back into ids. Files travel as the ``blob`` column of a table that
+data. A shard file holds bit planes, most significant first, and no rank directory: opening
+a ``Shard`` unpacks every plane to a byte a bit, and a plane's directory is built in memory
+when ``access``, ``rank``, ``select``, ``count`` or ``occurrences`` first needs it. They do
+not turn back into ids, but the first answer costs the whole shard. Files travel as the ``blob`` column of a table that
 Spark's writers commit in the shared folder, so any store that Spark reaches will do.
 
 File layout, little-endian::
