@@ -1,10 +1,12 @@
 """Cases that an operator once left out, each against plain Python."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
-from spanforge.llm import licenses, line_dedup, minhash_dedup, url_filter
+from spanforge.llm import licenses, line_dedup, minhash_dedup, quality_fm, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,3 +132,49 @@ def test_url_models_read_query_and_fragment(spark):
     assert len(found) == len(rows) and [found[k].verdict for k in range(2000, 2007)] == ["allow", "block", "block", "block", "allow", "allow", "allow"]
     assert (found[2000].host, found[2000].path) == (found[2001].host, found[2001].path) and found[2002].score is not None
     assert [found[k].score for k in (2004, 2005, 2006)] == [None] * 3
+
+
+def _without_template(rows):
+    """``doc_id: text``; rows: ``doc_id, text, source``."""
+    bare = lambda x: x.strip(" \t\r")
+    pages, held = Counter(s for *_, s in rows), Counter((s, x) for _, t, s in rows for x in {bare(y) for y in t.split("\n")} - {""})
+    out = {}
+    for i, t, s in rows:
+        bad = {x for h, x in held if h == s and held[h, x] >= 5 and held[h, x] > 0.01 * pages[s]}
+        lines = [x for x in t.split("\n") if bare(x)]
+        out[i] = t if len(lines) >= 3 and all(bare(x) in bad for x in lines) else "\n".join(x for x in t.split("\n") if bare(x) not in bad)
+    return out
+
+
+def test_pipeline_rows_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from spanforge.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    menu, items = "menu of the site with many entries", [(k, " ".join(words(30))) for k in range(6)]
+    rows = []
+    for k in range(60):
+        base = words(104)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, f"{menu}\n" + " ".join(base)), (10 * k + 2, _edited(rng, base, (30, 70))), (10 * k + 3, _edited(rng, base, (20, 50, 80)))]
+        rows.append((10 * k + 4, "#$% *** " * rng.randrange(20, 60)))
+        rows.append((10 * k + 5, " ".join(words(40) + items[k % 6][1].split()[: 24 + k % 7] + words(40))))
+    rows = [(i, t, f"s{i % 2}") for i, t in rows]
+    labels = [(i, int("***" not in t), 0) for i, t, _ in rows]
+    tables = {"documents": ([(i, t, "en", s, len(t)) for i, t, s in rows], SCHEMA), "labels": (labels, "doc_id long, quality int, toxic int"), "benchmark": (items, "item_id long, text string")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality_fm.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    good = [r for r in rows if model.score(r[1], len(r[1])) >= quality_fm.THRESHOLD]
+    texts = _without_template(good)
+    alone = {i: r for i, r in _roots(sorted(texts.items()), 80).items() if i == r}
+    clean = {i: texts[i] for i in alone if not any(100 * len(_grams(t) & _grams(texts[i])) >= 80 * len(_grams(t)) for _, t in items)}
+    assert len(rows) > len(good) > len(alone) > len(clean) > 0 and any(texts[i] != t for i, t, _ in good)
+    lib, want = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), {}
+    for i, t in clean.items():
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256) for r in found} == want
