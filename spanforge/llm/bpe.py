@@ -29,7 +29,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import arrow_batches
 
 #: Words remembered by a worker; beyond, the memory starts anew (results don't change).
 CACHE_WORDS = 300_000
@@ -229,7 +228,6 @@ def load(path: str) -> WordBpe:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``doc_id, ids array<int>, decoded string`` for every row."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -243,7 +241,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode then decode every text; return ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

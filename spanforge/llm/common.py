@@ -2,24 +2,28 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
 every executor and the driver share; Spark's own writers commit them, so a lost
-executor costs a retry and never a result.
+executor costs a retry and never a result. A table written inside ``cleared`` is
+deleted when the block ends; a result that a caller reads lazily is written with ``keep``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; texts reach about 0.1 MB.
-ARROW_ROWS = 400
 #: A word of the text contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: Tables written in each open ``cleared`` block, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("spanforge_open", default=())
 
 
 def ascii_lower(text: str) -> str:
@@ -37,23 +41,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small: a batch of the longest texts must fit in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; one of our own only where none is set."""
+    """Folder shared by driver and executors; one of our own only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def published(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+def published(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    Inside ``cleared`` the table goes with the block; with ``keep``, with the block around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    owners = _OPEN.get()[:-1] if keep else _OPEN.get()
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables published inside, once whatever reads them has been written."""
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in own:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import published
+from spanforge.llm.common import cleared, published
 
 
 def _rooted(parent: DataFrame) -> DataFrame:
@@ -26,7 +26,15 @@ def _rooted(parent: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges (a, b)`` but the roots themselves; root: the least node reachable."""
+    """``node, root`` for every node of ``edges (a, b)`` but the roots themselves; root: the least node reachable.
+
+    Nodes are of any ordered type. The result is a published table; the tables of the rounds are deleted.
+    """
+    with cleared(edges.sparkSession):
+        return published(_components(edges), "components", keep=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = published(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc-edges")
     labels = None
     while not edges.isEmpty():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, arrow_batches
+from spanforge.llm.common import WORD
 
 #: Most labelled rows that training takes; more don't change the separation measured.
 TRAIN_ROWS = 4000
@@ -163,7 +163,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, list[float], int]]:
     """At most ``most`` labelled rows, as features; the choice depends on ids alone."""
-    arrow_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
@@ -189,7 +188,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Factorisa
 
 def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """Return ``doc_id, held_out, score, predicted`` for every row."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +200,6 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """The rows predicted 1, with every column they had."""
-    arrow_batches(docs.sparkSession)
     at_text, at_n = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import WORD, arrow_batches, published
+from spanforge.llm.common import WORD, published
 
 #: Fewer documents than this and a group borrows the next wider sketch.
 MIN_GROUP = 50
@@ -81,7 +81,6 @@ def measure(text: str | None) -> list[int]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source`` and the measures of every whole text."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
