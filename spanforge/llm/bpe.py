@@ -36,6 +36,24 @@ _NONE = 1 << 62
 #: White space for this kind of file: Unicode's, without the four ASCII separators.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Fixed values of Unicode 16 and 17: capitals (first, last, distance to the small letter).
+_NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+#: Letters and numbers (first, last) assigned after Unicode 16. The library's splitter
+#: doesn't know them yet, the ``regex`` module does.
+_LATER_RANGES = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER_RANGES) + "]")
+_LOWER_NEWER = {c: c + step for first, last, step in _NEWER_CAPITALS for c in range(first, last + 1)}
 
 
 def byte_symbols() -> list[str]:
@@ -175,7 +193,15 @@ class WordBpe:
     def word(self, piece: str) -> list[int]:
         """Ids of one piece without white space, already normalised."""
         out: list[int] = []
-        for part in [piece] if piece.isascii() and piece.isalpha() else self.pattern.findall(piece):
+        if piece.isascii():
+            parts = [piece] if piece.isalpha() else self.pattern.findall(piece)
+        elif _LATER.search(piece):
+            # neither letter nor number to the library: a symbol stands in while the piece is cut
+            shown = _LATER.sub("\ufffd", piece)
+            parts = [piece[m.start() : m.end()] for m in self.pattern.finditer(shown)]
+        else:
+            parts = self.pattern.findall(piece)
+        for part in parts:
             raw = part.encode("utf-8")
             symbols = [self.inner[b] for b in raw[:-1]]
             symbols.append(self.last[raw[-1]])
@@ -185,7 +211,7 @@ class WordBpe:
     def plain(self, text: str) -> list[int]:
         """Ids of a text that holds no special token's string."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LOWER_NEWER)
         text = text.lower()
         pieces = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
         cache, out = self.cache, []

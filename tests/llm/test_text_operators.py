@@ -241,3 +241,15 @@ def test_long_conversation_comes_in_pieces(spark):
     rows = chat_format.perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("perspective = 'p0'").orderBy("piece").collect()
     assert [r.n_turns for r in rows] == [64] * 7 + [52]
     assert sorted(x for r in rows for x in r.text.split("\n") if x.startswith("t")) == sorted(f"t{k}" for k in range(500))
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    from spanforge.llm import bpe
+    from spanforge.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    ours, library = bpe.WordBpe(path), Tokenizer.from_file(path)
+    for context in ("{}", "a{}b", "1{}{} {}x!"):
+        texts = [context.replace("{}", chr(c)) for c in range(0x40000) if not 0xD800 <= c <= 0xDFFF]
+        assert [ours.encode(x) for x in texts] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
