@@ -1,23 +1,24 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of a host where more than ``RATIO`` of the host's pages hold it, and
-at least ``MIN_PAGES`` do. Lines are counted by (host, hash) with partial aggregation, so a
-host or a line with a third of all rows costs each task its own part only. A host has at
-most (mean lines a page) / RATIO such lines, so its list is short; lists go to the pages by
-a broadcast where all of them together are small and by a salted join otherwise, and texts
-are rewritten in place: no text is ever shuffled on the broadcast way.
+at least ``MIN_PAGES`` do; it is dropped from every page of the host. A page is a distinct
+text of its host: rows that repeat a text are one page fetched again, so that copies of a
+page don't make boilerplate of it and are left for near-duplicate removal.
+
+Pages are made distinct by (host, text digest) and lines counted by (host, line digest), both
+with partial aggregation, so a host, a page or a line with a third of all rows costs each
+task its own part only. A host has at most (mean lines a page) / RATIO such lines, so its
+list is short; lists go to the pages by a broadcast where all of them together are small.
+Beyond, they are joined by host, and a host of very many rows is dealt over as many keys as
+its rows need. Texts are rewritten in place: on the broadcast way none is ever shuffled.
 
 Lines are compared without blanks, tabs and carriage returns at their ends; blank lines are
-never counted nor dropped. A page of ``WHOLE_LINES`` lines or more of which boilerplate
-makes up over ``WHOLE_SHARE`` of the characters is a copy of a page, not a page with a
-template: it is left whole, for near-duplicate removal to judge. That share is op 5's, as its
-statement has it; with ``only_copies`` a page is left whole only where every line is listed,
-and listed lines go from all others.
-
-Defined results: a null text stays null and holds no lines; a text that is nothing but one
-or two boilerplate lines becomes empty. A null host is a host of its own. Every row counts
-as a page, repeated rows too. All other columns are returned as they are; ``n_chars``,
-where present and stated, becomes the length of a text that changed.
+never counted nor dropped.
+
+Defined results: a null text stays null, holds no lines and is no page; a text that is
+nothing but boilerplate becomes empty. A null host is a host of its own. Rows are kept one
+for one. All other columns are returned as they are; ``n_chars``, where present and stated,
+becomes the length of a text that changed.
 """
 
 from __future__ import annotations
@@ -25,15 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import published
+from spanforge.llm.common import cleared, published
 
 RATIO = 0.01
 MIN_PAGES = 5
-WHOLE_LINES = 3
-WHOLE_SHARE = 0.5
 #: Most listed lines, of all hosts, for a broadcast.
 BROADCAST_LINES = 200_000
-SALT = 16
+#: Rows of one host that one key of the join beyond takes.
+ROWS_A_KEY = 1_000_000
 _ENDS = " \t\r"
 
 
@@ -46,43 +46,47 @@ def _bare(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """``host, bad``: for each host with any, the sorted hashes of its boilerplate lines."""
-    lines = docs.select(F.col(host).cast("string").alias("host"), _lines(F.col(text).cast("string")).alias("lines"))
-    held = F.array_distinct(F.transform(F.filter(F.transform("lines", _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    # The outer form: an inner one infers a filter that computes the array once more.
-    counts = lines.select("host", F.explode_outer(held).alias("line")).where(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    pages = docs.groupBy(F.col(host).cast("string").alias("h")).agg(F.count("*").alias("pages"))
-    over = counts.join(pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > RATIO * F.col("pages"))
-    return published(over.groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad")), "boilerplate")
-
-
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", report: bool = False, only_copies: bool = False) -> DataFrame:
-    """``docs`` without boilerplate lines; with ``report``, also n_lines, n_dropped, left_whole."""
-    lists = boilerplate(docs, host, text).select(F.col("host").alias("__ld_host"), F.col("bad").alias("__ld_bad"))
+    """``host, bad, keys``: for each host with any, the digests of its boilerplate lines; keys: of the join."""
+    rows = docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    held = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    each = rows.select("host", F.xxhash64("text").alias("page"), held.alias("lines")).groupBy("host", "page").agg(F.first("lines").alias("lines"), F.count("*").alias("n"))
+    with cleared(docs.sparkSession):
+        pages = published(each, "pages")
+        # The outer form: an inner one infers a filter that computes the array once more.
+        lines = pages.select("host", F.explode_outer("lines").alias("line")).where(F.col("line").isNotNull())
+        counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+        sizes = pages.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("pages"), F.sum("n").alias("rows"))
+        over = counts.join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > RATIO * F.col("pages"))
+        keys = F.ceil(F.max("rows") / ROWS_A_KEY).cast("int")
+        return published(over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("bad"), keys.alias("keys")), "boilerplate", keep=True)
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", report: bool = False) -> DataFrame:
+    """``docs`` without boilerplate lines; with ``report``, also n_lines and n_dropped."""
+    lists = boilerplate(docs, host, text).select(F.col("host").alias("__ld_host"), F.col("bad").alias("__ld_bad"), F.col("keys").alias("__ld_keys"))
     columns = docs.columns
     same = F.col("__ld_of").eqNullSafe(F.col("__ld_host"))
     rows = docs.withColumn("__ld_of", F.col(host).cast("string"))
     if (lists.agg(F.sum(F.size("__ld_bad"))).first()[0] or 0) <= BROADCAST_LINES:
         joined = rows.join(F.broadcast(lists), same, "left")
     else:
-        spread = lists.withColumn("__ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = rows.withColumn("__ld_of_salt", F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int")).join(spread, same & (F.col("__ld_of_salt") == F.col("__ld_salt")), "left")
+        # Hosts with more than one key are few: rows of the whole table / ROWS_A_KEY at most.
+        large = lists.where("__ld_keys > 1").select(F.col("__ld_host").alias("__ld_large"), F.col("__ld_keys").alias("__ld_of_keys"))
+        dealt = rows.join(F.broadcast(large), F.col("__ld_of").eqNullSafe(F.col("__ld_large")), "left")
+        dealt = dealt.withColumn("__ld_of_key", F.pmod(F.xxhash64(text), F.coalesce("__ld_of_keys", F.lit(1))).cast("int"))
+        spread = lists.withColumn("__ld_key", F.explode(F.sequence(F.lit(0), F.col("__ld_keys") - 1)))
+        joined = dealt.join(spread, same & (F.col("__ld_of_key") == F.col("__ld_key")), "left")
     listed = lambda x: F.coalesce(F.array_contains(F.col("__ld_bad"), F.xxhash64(_bare(x))), F.lit(False))
-    lines = _lines(F.col(text).cast("string"))
     # One pass marks the lines; the rest reads the marks.
-    marked = joined.withColumn("__ld_lines", F.transform(lines, lambda x: F.struct(x.alias("s"), (F.col("__ld_bad").isNotNull() & listed(x)).alias("b"), F.length(_bare(x)).alias("n"))))
-    # blank lines hold no characters and are never listed
-    total = F.aggregate("__ld_lines", F.lit(0), lambda a, x: a + x["n"])
-    gone = F.aggregate("__ld_lines", F.lit(0), lambda a, x: a + F.when(x["b"], x["n"]).otherwise(0))
-    count = F.size(F.filter("__ld_lines", lambda x: x["n"] > 0))
-    copy = gone == total if only_copies else gone > WHOLE_SHARE * total
-    marked = marked.withColumns({"__ld_n": F.when(F.col("__ld_lines").isNull(), 0).otherwise(count), "__ld_whole": F.coalesce((count >= WHOLE_LINES) & copy, F.lit(False))})
+    marks = F.transform(_lines(F.col(text).cast("string")), lambda x: F.struct(x.alias("s"), (F.col("__ld_bad").isNotNull() & listed(x)).alias("b"), (F.length(_bare(x)) > 0).alias("f")))
+    marked = joined.withColumn("__ld_lines", marks)
     kept = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x["b"]), lambda x: x["s"]), "\n")
-    new = F.when(F.col("__ld_bad").isNull() | F.col("__ld_whole") | F.col("__ld_lines").isNull(), F.col(text)).otherwise(kept)
-    out = marked.withColumn("__ld_text", new)
-    stated = {"n_chars": F.when(F.col("n_chars").isNotNull() & (F.col("__ld_text") != F.col(text)), F.length("__ld_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in columns else {}
-    found = [F.col("__ld_text").alias(text) if c == text else stated.get(c, F.col(c)) for c in columns]
+    out = marked.withColumn("__ld_text", F.when(F.col("__ld_bad").isNull() | F.col("__ld_lines").isNull(), F.col(text)).otherwise(kept))
+    found = [F.col("__ld_text").alias(text) if c == text else F.col(c) for c in columns]
+    if "n_chars" in columns:
+        changed = F.col("n_chars").isNotNull() & (F.col("__ld_text") != F.col(text))
+        found[columns.index("n_chars")] = F.when(changed, F.length("__ld_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
     if report:
-        dropped = F.when(F.col("__ld_lines").isNull() | F.col("__ld_whole"), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x["b"])))
-        found += [F.col("__ld_n").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.col("__ld_whole").alias("left_whole")]
+        count = lambda key: F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x[key]))).cast("long")
+        found += [count("f").alias("n_lines"), count("b").alias("n_dropped")]
     return out.select(*found)

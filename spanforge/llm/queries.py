@@ -38,7 +38,7 @@ def op4_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"), report=True)
-    return found.select("doc_id", "source", "text", "n_lines", "n_dropped", "left_whole")
+    return found.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

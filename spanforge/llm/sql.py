@@ -18,18 +18,15 @@ from placed group by conv_id, perspective, piece
 
 OP5 = r"""
 with d as (select row_number() over () as r, doc_id, source, text from documents),
-l as (select r, doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from d),
+l as (select r, source, text, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from d),
 b as (select *, trim(line, ' ' || chr(9) || chr(13)) as bare from l),
-c as (select source, bare, count(distinct r) as n from b where bare <> '' group by all),
-h as (select source, count(*) as pages from d group by 1),
+c as (select source, bare, count(distinct text) as n from b where bare <> '' group by all),
+h as (select source, count(distinct text) as pages from d group by 1),
 bad as (select c.source, c.bare from c join h on c.source is not distinct from h.source where n >= 5 and n > 0.01 * pages),
 m as (select b.*, bad.bare is not null as drop_it from b left join bad on b.source is not distinct from bad.source and b.bare = bad.bare),
-s as (select r, count(*) filter (bare <> '') as n_lines, sum(length(bare)) as total, coalesce(sum(length(bare)) filter (drop_it), 0) as gone, count(*) filter (drop_it) as n_bad,
-  coalesce(string_agg(line, chr(10) order by i) filter (not drop_it), '') as kept from m group by r),
-w as (select *, n_lines >= 3 and gone > 0.5 * total as left_whole from s)
-select d.doc_id, d.source, case when w.left_whole or d.text is null then d.text else w.kept end as text,
-  coalesce(w.n_lines, 0)::bigint as n_lines, (case when coalesce(w.left_whole, false) then 0 else coalesce(w.n_bad, 0) end)::bigint as n_dropped, coalesce(w.left_whole, false) as left_whole
-from d left join w on d.r = w.r
+s as (select r, count(*) filter (bare <> '') as n_lines, count(*) filter (drop_it) as n_bad, coalesce(string_agg(line, chr(10) order by i) filter (not drop_it), '') as kept from m group by r)
+select d.doc_id, d.source, case when d.text is null then null else s.kept end as text, coalesce(s.n_lines, 0)::bigint as n_lines, coalesce(s.n_bad, 0)::bigint as n_dropped
+from d left join s on d.r = s.r
 """
 
 OP7 = r"""

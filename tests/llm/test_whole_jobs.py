@@ -112,17 +112,28 @@ def test_licence_names(text, labels):
     assert licenses.scan(text)[5] == labels
 
 
-def test_pipeline_drops_boilerplate_of_short_pages(spark):
-    """A long template around one own line; a page of the template alone is a copy."""
+def test_boilerplate_goes_from_every_page(spark):
+    """A long template around one own line; a page of the template alone becomes empty."""
     import corpus_pipeline
 
     menu = ["Home and news and weather and sport and all the rest", "Copyright of this site by its owners and nobody else"]
-    rows = [(k, "\n".join([menu[0], f"own {k}", menu[1]])) for k in range(30)] + [(100 + k, "\n".join([*menu, menu[0]])) for k in range(3)] + [(200, menu[0])]
+    rows = [(k, "\n".join([menu[0], f"own {k}", menu[1]])) for k in range(30)] + [(100 + k, "\n".join([*menu, menu[0]])) for k in range(3)] + [(200, menu[0]), (201, None)]
     docs = _docs(spark, rows)
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
-    assert got == {i: (f"own {i}", len(f"own {i}")) if i < 100 else (t, len(t)) if i < 200 else ("", 0) for i, t in rows}
-    whole = {r.doc_id for r in line_dedup.drop_boilerplate(docs, report=True, only_copies=True).where("left_whole").collect()}
-    assert whole == {100, 101, 102}
+    assert got == {i: (f"own {i}", len(f"own {i}")) if i < 100 else (None, None) if t is None else ("", 0) for i, t in rows}
+
+
+def test_copies_of_a_page_are_one_page(spark, monkeypatch):
+    """40 rows repeat a text: its lines stand on one page, and no page is emptied."""
+    copy = "a line of the copied text\nanother line of it\nand a third"
+    rows = [(k, copy) for k in range(40)] + [(100 + k, f"own {k}\nshared line") for k in range(4)]
+    assert {r.text for r in line_dedup.drop_boilerplate(_docs(spark, rows)).collect()} == {t for _, t in rows}
+    rows += [(200, "own 4\nshared line ")]
+    want = sorted([copy] * 40 + [f"own {k}" for k in range(5)])
+    for limits in ((line_dedup.BROADCAST_LINES, line_dedup.ROWS_A_KEY), (0, 3)):
+        for name, limit in zip(("BROADCAST_LINES", "ROWS_A_KEY"), limits, strict=True):
+            monkeypatch.setattr(line_dedup, name, limit)
+        assert sorted(r.text for r in line_dedup.drop_boilerplate(_docs(spark, rows)).collect()) == want
 
 
 def test_url_models_read_query_and_fragment(spark):
@@ -137,12 +148,12 @@ def test_url_models_read_query_and_fragment(spark):
 def _without_template(rows):
     """``doc_id: text``; rows: ``doc_id, text, source``."""
     bare = lambda x: x.strip(" \t\r")
-    pages, held = Counter(s for *_, s in rows), Counter((s, x) for _, t, s in rows for x in {bare(y) for y in t.split("\n")} - {""})
+    texts = {(s, t) for _, t, s in rows}
+    pages, held = Counter(s for s, _ in texts), Counter((s, x) for s, t in texts for x in {bare(y) for y in t.split("\n")} - {""})
     out = {}
     for i, t, s in rows:
         bad = {x for h, x in held if h == s and held[h, x] >= 5 and held[h, x] > 0.01 * pages[s]}
-        lines = [x for x in t.split("\n") if bare(x)]
-        out[i] = t if len(lines) >= 3 and all(bare(x) in bad for x in lines) else "\n".join(x for x in t.split("\n") if bare(x) not in bad)
+        out[i] = "\n".join(x for x in t.split("\n") if bare(x) not in bad)
     return out
 
 
