@@ -1,14 +1,26 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every text is measured once; each measure is an integer rate. Per language and source a
+Every text is measured once; each measure gives an integer rate. Per language and source a
 sketch counts the rates by logarithmic bucket (64 steps, then 32 a power of two: at most
 3 % relative error). Sketches of such counts merge by addition, so they are built by
 partial aggregation whatever a group's size, and the sketch of a language or of the whole
-corpus is the sum of its parts: groups with fewer than ``MIN_GROUP`` documents take the
-thresholds of their language, small languages those of the corpus.
+corpus is the sum of its parts.
 
-A rate's fence is ``median + REACH * (q90 - median) + SLACK[rate]``; a document past any
-fence of its group is rejected, and so is one that fails the base rules of the contract.
+No cutoff is a constant. A group's sketch is shrunk smoothly: to its own counts come those of
+its language and of the corpus, each scaled to ``PRIOR`` documents, which decide for a group
+of three documents and weigh nothing in one of a million. From that mixture a rate's fence is
+
+- its 999th thousandth, or
+- for rates of characters, whose junk forms a cluster of its own: where two octaves in a row
+  above the third quartile hold under 1/1000 and what lies beyond them holds 1/200 or more,
+  the middle (geometric) between the third quartile and the cluster's median. So a source of
+  which up to a quarter is junk doesn't set its fence by its junk. Rates of words and lines
+  have no such rule: one repeated line or window is the least there can be, so that low rates
+  are empty by nature.
+
+A document is past a fence when its count, less ``ERRORS`` standard errors of a count, still
+is; short texts are not judged by a handful of characters. A document past any fence is
+rejected, and so is one that fails the base rules of the contract.
 
 Defined results: a null text has no words; texts with under ten words fail the base rules.
 Null language or source is a group of its own. Rows are kept one for one.
@@ -25,16 +37,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import WORD, published
-
-#: Fewer documents than this and a group borrows the next wider sketch.
-MIN_GROUP = 50
-REACH = 3
-#: Added to each fence, in the rate's unit: groups without any spread are not trimmed.
-SLACK = {"symbol_rate": 60, "dup_line_rate": 60, "repeat_rate": 150, "capital_rate": 250, "word_length": 400}
-#: Most (language, source) groups whose fences are broadcast; beyond, a salted join.
+from spanforge.llm.common import WORD, cleared, published
+
+#: Documents that the language's and the corpus's sketch each count for in a group's mixture.
+PRIOR = 200
+#: Weight of one document in a mixture: weights are integers.
+UNIT = 1000
+#: Standard errors of a count (its square root) that a document is given.
+ERRORS = 2
+#: Rates: count, base, unit of the rate, whether a cluster of junk is looked for.
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1000, True),
+    "dup_line_rate": ("n_dup_lines", "n_words", 1000, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000, False),
+    "capital_rate": ("n_capitals", "word_chars", 1000, True),
+    "word_length": ("word_chars", "n_words", 100, False),
+}
+#: Octaves of a rate of characters: thousandths.
+OCTAVES = 10
+#: Most (language, source) groups whose fences are broadcast; beyond, a join by group.
 BROADCAST_GROUPS = 20_000
-SALT = 16
+#: Documents of one group that one key of the join beyond takes.
+ROWS_A_KEY = 1_000_000
 _WORDS = re.compile(WORD).findall
 _SPACES = np.array([9, 10, 11, 12, 13, 32])
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -93,14 +117,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def rates() -> dict[str, Column]:
     """Integer rates: thousandths of word characters or words; word length in hundredths."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return {
-        "symbol_rate": F.floor(1000 * F.col("n_symbols") / chars),
-        "dup_line_rate": F.floor(1000 * F.col("n_dup_lines") / words),
-        "repeat_rate": F.floor(1000 * F.col("n_repeat_words") / words),
-        "capital_rate": F.floor(1000 * F.col("n_capitals") / chars),
-        "word_length": F.floor(100 * F.col("word_chars") / words),
-    }
+    return {k: F.floor(unit * F.col(count) / F.greatest(F.col(base), F.lit(1))) for k, (count, base, unit, _) in RATES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -121,43 +138,69 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add sketches up to the given keys."""
-    return parts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-
-
-def fences(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, docs, fence``: size of each group and a map from rate to its fence."""
-    group = Window.partitionBy(*keys, "rate")
-    run = parts.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), bucket_top(F.col("bucket"))))
-    slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))
-    each = run.groupBy(*keys, "rate").agg(F.max("docs").alias("docs"), at(F.lit(0.5)).alias("mid"), at(F.lit(0.9)).alias("high"))
-    each = each.withColumn("fence", F.col("mid") + REACH * (F.col("high") - F.col("mid")) + slack[F.col("rate")])
-    return each.groupBy(*keys).agg(F.max("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("fence"))
+    """Sketches added up to the given keys, with ``docs``, the documents of each."""
+    summed = parts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    return summed.withColumn("docs", F.sum("n").over(Window.partitionBy(*keys, "rate")))  # at most some hundred buckets each
+
+
+def mixtures(parts: DataFrame) -> DataFrame:
+    """``lang, source, rate, docs, e``: the shrunken sketch of each group, buckets ``top, w, upto`` in order."""
+    scaled = lambda n, docs: F.expr(f"({PRIOR * UNIT} * {n}) div {docs}")
+    of_all = merged(parts, []).select("rate", "bucket", scaled("n", "docs").alias("w_all"))
+    of_lang = merged(parts, ["lang"]).select(F.col("lang").alias("l"), F.col("rate").alias("l_rate"), F.col("bucket").alias("l_bucket"), scaled("n", "docs").alias("w_lang"))
+    own = parts.select(F.col("lang").alias("g"), F.col("source").alias("s"), F.col("rate").alias("g_rate"), F.col("bucket").alias("g_bucket"), F.col("n").alias("w_own"))
+    groups = parts.groupBy("lang", "source", "rate").agg(F.sum("n").alias("docs"))
+    # The corpus's sketch holds every bucket there is: 5 rates of some hundred buckets, whatever the data's size.
+    grid = groups.join(F.broadcast(of_all), "rate")
+    at = lambda p: (F.col("rate") == F.col(f"{p}_rate")) & (F.col("bucket") == F.col(f"{p}_bucket"))
+    grid = grid.join(of_lang, F.col("lang").eqNullSafe(F.col("l")) & at("l"), "left")
+    grid = grid.join(own, F.col("lang").eqNullSafe(F.col("g")) & F.col("source").eqNullSafe(F.col("s")) & at("g"), "left")
+    weight = F.coalesce("w_own", F.lit(0)) * UNIT + F.coalesce("w_lang", F.lit(0)) + F.col("w_all")
+    order = Window.partitionBy("lang", "source", "rate").orderBy("bucket")
+    run = grid.select("lang", "source", "rate", "docs", "bucket", bucket_top(F.col("bucket")).alias("top"), weight.alias("w")).withColumn("upto", F.sum("w").over(order))
+    return run.groupBy("lang", "source", "rate").agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("top", "w", "upto"))).alias("e"))
+
+
+def fences(parts: DataFrame) -> DataFrame:
+    """``lang, source, rate, docs, fence`` of each group."""
+    first = lambda test: F.get(F.filter("e", test), F.lit(0))["top"]
+    rows = mixtures(parts).withColumn("total", F.element_at("e", -1)["upto"])
+    rows = rows.withColumns({"q75": first(lambda x: 4 * x["upto"] >= 3 * F.col("total")), "q999": first(lambda x: 1000 * x["upto"] >= 999 * F.col("total"))})
+    octave = lambda v: F.when(v == 0, 0).otherwise(F.length(F.bin(v)))
+    held = lambda test: F.aggregate(F.filter("e", test), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    beyond = lambda k: held(lambda x: octave(x["top"]) > k + 1)
+    empty = lambda k: 1000 * held(lambda x: (octave(x["top"]) == k) | (octave(x["top"]) == k + 1)) < F.col("total")
+    valley = F.filter(F.transform(F.sequence(F.lit(1), F.lit(OCTAVES)), lambda k: F.struct(((k > octave(F.col("q75"))) & empty(k)).alias("low"), beyond(k).alias("far"))), lambda v: v["low"] & (200 * v["far"] >= F.col("total")))
+    rows = rows.withColumn("far", F.when(F.col("rate").isin([k for k, x in RATES.items() if x[3]]), F.get(valley, F.lit(0))["far"]))
+    cluster = first(lambda x: 2 * x["upto"] >= 2 * F.col("total") - F.col("far"))
+    middle = F.floor(F.sqrt((F.col("q75") + 1) * (cluster + 1)))
+    return rows.select("lang", "source", "rate", "docs", F.when(F.col("far").isNotNull(), middle).otherwise(F.col("q999")).cast("long").alias("fence"))
 
 
 def group_fences(rows: DataFrame) -> DataFrame:
-    """Fences of every (lang, source), each from the narrowest sketch that is large enough."""
-    parts = published(sketches(rows), "rate-sketches")
-    of_group = fences(parts, ["lang", "source"])
-    of_lang = fences(merged(parts, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("l_docs"), F.col("fence").alias("l_fence"))
-    of_all = fences(merged(parts.withColumn("everything", F.lit(1)), ["everything"]), ["everything"]).select(F.col("everything").alias("a"), F.col("fence").alias("a_fence"))
-    found = of_group.withColumn("one", F.lit(1)).join(of_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(of_all, F.col("one") == F.col("a"), "left")
-    best = F.when(F.col("docs") >= MIN_GROUP, F.col("fence")).when(F.col("l_docs") >= MIN_GROUP, F.col("l_fence")).otherwise(F.col("a_fence"))
-    return found.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), best.alias("g_fence"))
+    """``g_lang, g_source, g_docs, g_fence`` (a map by rate) of every group."""
+    with cleared(rows.sparkSession):
+        found = fences(published(sketches(rows), "rate-sketches"))
+        found = found.groupBy("lang", "source").agg(F.max("docs").alias("g_docs"), F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("g_fence"))
+        return published(found.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g_docs", "g_fence"), "rate-fences", keep=True)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base measures, ``base_failed``, ``failed_rates`` and ``kept``."""
+    """``doc_id``, the base measures, ``base_failed``, ``failed_rates``, ``fences`` (in the order of RATES) and ``kept``."""
     rows = published(measured(docs), "rate-measures")
-    limits = published(group_fences(rows), "rate-fences")
+    limits = group_fences(rows)
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        found = rows.join(F.broadcast(limits), same, "left")
-    else:  # a group may hold a third of all rows: deal it out over SALT keys
-        spread = limits.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        found = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALT)).cast("int")).join(spread, same & (F.col("salt") == F.col("g_salt")), "left")
-    past = F.filter(F.array(*(F.when(v > F.col("g_fence")[k], F.lit(k)) for k, v in rates().items())), lambda x: x.isNotNull())
+        found = rows.join(F.broadcast(limits.drop("g_docs")), same, "left")
+    else:  # a group may hold a third of all rows: it is dealt over as many keys as its rows need
+        keyed = limits.withColumn("keys", F.ceil(F.col("g_docs") / ROWS_A_KEY).cast("int"))
+        large = keyed.where("keys > 1").select(F.col("g_lang").alias("h_lang"), F.col("g_source").alias("h_source"), F.col("keys").alias("of"))
+        dealt = rows.join(F.broadcast(large), F.col("lang").eqNullSafe(F.col("h_lang")) & F.col("source").eqNullSafe(F.col("h_source")), "left")
+        dealt = dealt.withColumn("key", F.pmod(F.xxhash64("doc_id", "n_words"), F.coalesce("of", F.lit(1))).cast("int"))
+        found = dealt.join(keyed.withColumn("g_key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))), same & (F.col("key") == F.col("g_key")), "left")
+    beyond = lambda k, count, base, unit: F.col(count) - ERRORS * F.sqrt(F.col(count)) > F.col("g_fence")[k] * F.col(base) / unit
+    past = F.filter(F.array(*(F.when(beyond(k, *x[:3]), F.lit(k)) for k, x in RATES.items())), lambda x: x.isNotNull())
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = found.select("doc_id", *_MEASURES[:5], base.alias("base_failed"), F.array_join(past, ",").alias("failed_rates"))
+    stated = F.concat_ws(",", *(F.col("g_fence")[k].cast("string") for k in RATES))
+    out = found.select("doc_id", *_MEASURES[:5], base.alias("base_failed"), F.array_join(past, ",").alias("failed_rates"), stated.alias("fences"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rates") == ""))

@@ -68,14 +68,26 @@ m as (select w.r, doc_id, lang, source, len(ws)::bigint as n_words, length(array
 x as (select r, lang, source, unnest([{'i': 1, 'rate': 'symbol_rate', 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'i': 2, 'rate': 'dup_line_rate', 'v': 1000 * n_dup_lines // greatest(n_words, 1)}, {'i': 3, 'rate': 'repeat_rate', 'v': 1000 * n_repeat_words // greatest(n_words, 1)},
   {'i': 4, 'rate': 'capital_rate', 'v': 1000 * n_capitals // greatest(word_chars, 1)}, {'i': 5, 'rate': 'word_length', 'v': 100 * word_chars // greatest(n_words, 1)}]) as e from m),
 s as (select lang, source, e.rate as rate, greatest(length(bin(e.v)) - 6, 0) * 64 + (e.v >> greatest(length(bin(e.v)) - 6, 0)) as bucket, count(*) as n from x group by all),
-lv as (select 1 as lev, lang, source, rate, bucket, n from s union all select 2, lang, null, rate, bucket, sum(n) from s group by lang, rate, bucket union all select 3, null, null, rate, bucket, sum(n) from s group by rate, bucket),
-q as (select *, sum(n) over (partition by lev, lang, source, rate order by bucket) as upto, sum(n) over (partition by lev, lang, source, rate) as docs, ((bucket % 64 + 1) << (bucket // 64)) - 1 as top from lv),
-fe as (select lev, lang, source, rate, max(docs) as docs, min(top) filter (upto >= ceil(docs * 0.5)) as mid, min(top) filter (upto >= ceil(docs * 0.9::double)) as high from q group by all),
-fs as (select lev, lang, source, rate, docs, mid + 3 * (high - mid) + case rate when 'repeat_rate' then 150 when 'capital_rate' then 250 when 'word_length' then 400 else 60 end as fence from fe),
-pa as (select x.r, x.e.i as i, x.e.rate as rate, x.e.v > case when a.docs >= 50 then a.fence when b.docs >= 50 then b.fence else z.fence end as past
-  from x join fs a on a.lev = 1 and a.lang is not distinct from x.lang and a.source is not distinct from x.source and a.rate = x.e.rate join fs b on b.lev = 2 and b.lang is not distinct from x.lang and b.rate = x.e.rate join fs z on z.lev = 3 and z.rate = x.e.rate),
-fl as (select r, coalesce(string_agg(rate, ',' order by i) filter (past), '') as failed_rates from pa group by 1)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, failed_rates,
+al as (select rate, bucket, 200000 * sum(n)::bigint // (sum(sum(n)) over (partition by rate))::bigint as w from s group by rate, bucket),
+la as (select lang, rate, bucket, 200000 * sum(n)::bigint // (sum(sum(n)) over (partition by lang, rate))::bigint as w from s group by lang, rate, bucket),
+mx as (select p.lang, p.source, p.rate, al.bucket, ((al.bucket % 64 + 1) << (al.bucket // 64)::int) - 1 as top, 1000 * coalesce(s.n, 0) + coalesce(la.w, 0) + al.w as w
+  from (select distinct lang, source, rate from s) p join al on al.rate = p.rate
+  left join la on la.lang is not distinct from p.lang and la.rate = p.rate and la.bucket = al.bucket
+  left join s on s.lang is not distinct from p.lang and s.source is not distinct from p.source and s.rate = p.rate and s.bucket = al.bucket),
+cu as (select *, (sum(w) over (partition by lang, source, rate order by bucket))::bigint as upto, (sum(w) over (partition by lang, source, rate))::bigint as total, case when top = 0 then 0 else length(bin(top)) end as oc from mx),
+qu as (select lang, source, rate, max(total) as total, min(top) filter (4 * upto >= 3 * total) as q75, min(top) filter (1000 * upto >= 999 * total) as q999 from cu group by all),
+oc as (select cu.lang, cu.source, cu.rate, k, min(cu.total) as total, coalesce(sum(w) filter (oc in (k, k + 1)), 0) as low, coalesce(sum(w) filter (oc > k + 1), 0)::bigint as far
+  from cu join (select unnest(range(1, 11)) as k) on true where cu.rate in ('symbol_rate', 'capital_rate') group by all),
+va as (select o.lang, o.source, o.rate, arg_min(far, k) as far from oc o join qu on qu.lang is not distinct from o.lang and qu.source is not distinct from o.source and qu.rate = o.rate
+  where k > case when q75 = 0 then 0 else length(bin(q75)) end and 1000 * low < o.total and 200 * far >= o.total group by all),
+cl as (select cu.lang, cu.source, cu.rate, min(top) as mid from cu join va on va.lang is not distinct from cu.lang and va.source is not distinct from cu.source and va.rate = cu.rate where 2 * upto >= 2 * total - far group by all),
+fs as (select qu.lang, qu.source, qu.rate, case when cl.mid is not null then floor(sqrt((q75 + 1) * (cl.mid + 1)))::bigint else q999 end as fence
+  from qu left join cl on cl.lang is not distinct from qu.lang and cl.source is not distinct from qu.source and cl.rate = qu.rate),
+ev as (select m.r, lang, source, unnest([{'i': 1, 'rate': 'symbol_rate', 'c': n_symbols, 'n': word_chars, 'u': 1000}, {'i': 2, 'rate': 'dup_line_rate', 'c': n_dup_lines, 'n': n_words, 'u': 1000},
+  {'i': 3, 'rate': 'repeat_rate', 'c': n_repeat_words, 'n': n_words, 'u': 1000}, {'i': 4, 'rate': 'capital_rate', 'c': n_capitals, 'n': word_chars, 'u': 1000}, {'i': 5, 'rate': 'word_length', 'c': word_chars, 'n': n_words, 'u': 100}]) as e from m),
+fl as (select r, coalesce(string_agg(e.rate, ',' order by e.i) filter (e.c - 2 * sqrt(e.c) > fs.fence * e.n / e.u), '') as failed_rates, string_agg(fs.fence, ',' order by e.i) as fences
+  from ev join fs on fs.lang is not distinct from ev.lang and fs.source is not distinct from ev.source and fs.rate = ev.e.rate group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, failed_rates, fences,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed_rates = '' as kept from m join fl using (r)
 """
 

@@ -180,6 +180,27 @@ def test_adaptive_fences(spark):
     assert all("symbol_rate" in found[1000 + i].failed_rates for i in range(12))
 
 
+def test_fences_belong_to_groups(spark, monkeypatch):
+    """Sources of their own habits: what is usual in one is past the fence of another; junk sets no fence."""
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    marked = lambda n, k, mark: " ".join(f"w{rng.randrange(10**5)}{mark * (i < k)}" for i in range(n))
+    rows = [(i, line(60), "en", "prose", 1) for i in range(1500)]
+    rows += [(2000 + i, marked(60, rng.randrange(8, 13), "&"), "en", "code", 1) for i in range(700)]
+    rows += [(3000 + i, marked(30, 30, "#$#$%"), "en", "prose" if i % 3 else "code", 1) for i in range(120)]
+    rows += [(4000, marked(60, 30, "&"), "en", "prose", 1), (4001, line(60), None, None, 1), (4002, line(60), "en", "tiny", 1), (4003, line(60), "en", "tiny", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for limits in ((quality_rules.BROADCAST_GROUPS, quality_rules.ROWS_A_KEY), (0, 50)):
+        for name, limit in zip(("BROADCAST_GROUPS", "ROWS_A_KEY"), limits, strict=True):
+            monkeypatch.setattr(quality_rules, name, limit)
+        found = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+        assert all(found[i].kept for i in [*range(1500), *range(2000, 2700), 4001, 4002])
+        assert all("symbol_rate" in found[3000 + i].failed_rates for i in range(120)) and found[4000].failed_rates == "symbol_rate"
+        symbol = {s: int(found[i].fences.split(",")[0]) for s, i in (("prose", 0), ("code", 2000), ("tiny", 4002))}
+        assert symbol["prose"] < symbol["code"] and len(set(symbol.values())) == 3
+        assert len(found) == len(rows)
+
+
 def test_sketch_buckets(spark):
     from pyspark.sql import functions as F
 
