@@ -227,8 +227,7 @@ def _member_sets(members: DataFrame, docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("tkey", F.xxhash64("text"))
     wanted = members.select("rep.doc_id", "rep.tkey", "class", "family", F.col("fp").alias("want"))
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"]).select("class", "family", "want", "text")
+    picked = texts.join(_small(wanted), ["doc_id", "tkey"]).select("class", "family", "want", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -268,13 +267,18 @@ def _hub_links(hubs: DataFrame, held: DataFrame, link: int) -> DataFrame:
     return published(hubs.join(right, "b").join(left, "a").select("fp_a", "fp_b", "raw_a", "raw_b").mapInArrow(compare, "a binary, b binary"), "dedup-hub-links")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` broadcast where it is small: its key may be a family that holds a third of all classes."""
+    return F.broadcast(table) if table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else table
+
+
 def _other_links(held: DataFrame, part: DataFrame, link: int) -> DataFrame:
     """``a, b`` (fingerprints): links between classes of one family that hubs left apart."""
     facts = held.select("class", "family", "fp", "n").join(part, F.col("fp") == F.col("node"), "left").select("class", "family", "fp", "n", F.coalesce("root", "fp").alias("part")).distinct()
     facts = published(facts, "dedup-parts")
     size = facts.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("most"))
-    split = size.where("parts > 1").select("family", F.col("most.part").alias("main"))
-    rows = facts.join(split, "family").withColumn("rest", (F.col("part") != F.col("main")).cast("int"))
+    split = published(size.where("parts > 1").select("family", F.col("most.part").alias("main")), "dedup-open")
+    rows = facts.join(_small(split), "family").withColumn("rest", (F.col("part") != F.col("main")).cast("int"))
     celled = published(rows.withColumn("cell", _cell(F.col("n"), link)).drop("main"), "dedup-split")
     if celled.isEmpty():
         return celled.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
@@ -283,7 +287,7 @@ def _other_links(held: DataFrame, part: DataFrame, link: int) -> DataFrame:
     blocks = published(blocks, "dedup-blocks")
     above = blocks.select("family", (F.col("cell") - 1).alias("cell"), F.col("few").alias("few_up"), F.col("many").alias("many_up"))
     below = blocks.select("family", (F.col("cell") + 1).alias("cell"), F.col("few").alias("few_down"), F.col("many").alias("many_down"))
-    plan = blocks.join(above, ["family", "cell"], "left").join(below, ["family", "cell"], "left").na.fill(0)
+    plan = _small(published(blocks.join(above, ["family", "cell"], "left").join(below, ["family", "cell"], "left").na.fill(0), "dedup-plan"))
     # Blocks of a cell: those of the rest first, then those of the family's largest part.
     deal = F.xxhash64("class", "fp")
     own = F.when(F.col("rest") == 1, F.pmod(deal, F.col("few"))).otherwise(F.col("few") + F.pmod(deal, F.col("many"))).cast("int")
@@ -375,13 +379,12 @@ def without_copies(docs: DataFrame, link: int = LINK) -> DataFrame:
         # a row that stays and is there several times over counts as its own copy
         keys = named.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"), F.first(stays).alias("stays")).where("not stays or n > 1")
         keys = published(keys.select(F.col("doc_id").alias("__nd_id"), F.col("tkey").alias("__nd_key"), F.col("stays").alias("__nd_stays")), "dedup-gone", keep=True)
-    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     same = (F.col("doc_id").cast("long") == F.col("__nd_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__nd_key"))
-    left = docs.join(F.broadcast(keys) if few else keys, same, "left_anti")
+    left = docs.join(_small(keys), same, "left_anti")
     again = keys.where("__nd_stays")
     if again.isEmpty():
         return left
     # Equal texts under one id: the row whose other columns come first as text stays.
     row = F.struct(*(F.col(c) for c in docs.columns))
-    first = docs.join(F.broadcast(again) if few else again, same, "inner").groupBy("__nd_id", "__nd_key").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    first = docs.join(_small(again), same, "inner").groupBy("__nd_id", "__nd_key").agg(F.min_by(row, F.to_json(row)).alias("row"))
     return left.unionByName(first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
