@@ -7,11 +7,12 @@ and only their rules run. Of overlapping detections, one whose interval lies ins
 another's of the same or a higher priority goes (of equal intervals, the one of lower
 priority, then the later rule); the labels of the rest, in order, are the result.
 
-The rules are, first, families times forms: each licence has hand-written names and
-versions, and each form is a hand-written phrase around a name (tag, notice, grant, link and
-so on). Signatures are hand-written short names (GPLv3, 3-clause BSD) in the same forms.
-Notices are phrases of licence texts. SPDX ids count only inside an SPDX expression, whose
-operands are found each at its own place.
+The rules, in order: names of licence families in hand-written phrases (tag, notice, grant),
+hand-written short names (GPLv3, 3-clause BSD) in the same phrases, then the signatures of
+``license_signatures``: texts and headers, further names, addresses, exceptions and statements
+of rights. SPDX ids count only inside an SPDX expression, whose operands are found each at its
+own place. A rule's keyword is derived from its name or pattern: the longest run of words that
+every match holds.
 
 Defined results: a null text is an empty text, with no words, no places and score 0.
 Rows are kept one for one.
@@ -30,60 +31,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.license_signatures import EXCEPTIONS, LINKS, NAMES, NOTICES, STATEMENTS, TEXTS
+
 
 #: Base phrases of the contract and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 _GAP = rb"[^0-9a-z\x80-\xff]+"
 _EDGE = rb"(?<![0-9a-z\x80-\xff])%s(?![0-9a-z\x80-\xff])"
 
-#: Families: label, keyword, names (words; a version follows where one is listed). A name
-#: without the family's keyword is a keyword itself.
+#: Families: label, names (words; a version follows where one is listed), versions.
 FAMILIES = (
-    ("apache", "apache", ("apache license", "apache software license", "apache licence"), ("2 0", "1 1", "1 0")),
-    ("mit", "mit", ("mit license", "mit licence", "mit x11 license"), ()),
-    ("bsd", "bsd", ("bsd license", "bsd licence", "berkeley software distribution license"), ("4 clause", "3 clause", "2 clause", "0 clause")),
-    ("agpl", "affero", ("affero general public license", "gnu affero general public license"), ("3", "1")),
-    ("lgpl", "lesser", ("lesser general public license", "gnu lesser general public license"), ("3", "2 1")),
-    ("lgpl", "library general", ("library general public license",), ("2",)),
-    ("gpl", "general public", ("gnu general public license", "general public license", "gnu general public licence"), ("3", "2", "1")),
-    ("fdl", "documentation license", ("gnu free documentation license", "free documentation license"), ("1 3", "1 2", "1 1")),
-    ("mpl", "mozilla", ("mozilla public license", "mozilla public licence"), ("2 0", "1 1", "1 0")),
-    ("epl", "eclipse", ("eclipse public license",), ("2 0", "1 0")),
-    ("cddl", "common development", ("common development and distribution license",), ("1 1", "1 0")),
-    ("eupl", "european union public", ("european union public licence", "european union public license"), ("1 2", "1 1")),
-    ("cpl", "common public", ("common public license",), ("1 0",)),
-    ("ipl", "ibm public", ("ibm public license",), ("1 0",)),
-    ("artistic", "artistic", ("artistic license", "perl artistic license"), ("2 0", "1 0")),
-    ("boost", "boost software", ("boost software license",), ("1 0",)),
-    ("zlib", "zlib", ("zlib license", "zlib libpng license"), ()),
-    ("isc", "isc", ("isc license", "internet systems consortium license"), ()),
-    ("ncsa", "ncsa", ("university of illinois ncsa open source license", "ncsa open source license"), ()),
-    ("psf", "python software", ("python software foundation license",), ("2",)),
-    ("php", "php", ("php license",), ("3 01", "3 0")),
-    ("ofl", "open font", ("sil open font license", "open font license"), ("1 1", "1 0")),
-    ("unlicense", "unlicense", ("the unlicense",), ()),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
-    ("odbl", "open database", ("open database license", "open data commons open database license"), ("1 0",)),
-    ("pddl", "public domain dedication", ("public domain dedication and license",), ("1 0",)),
-    ("ogl", "open government", ("open government licence", "open government license"), ("3 0", "2 0", "1 0")),
-    ("ms-pl", "microsoft public", ("microsoft public license",), ()),
-    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal license",), ()),
-    ("openssl", "openssl", ("openssl license",), ()),
-    ("cecill", "cecill", ("cecill free software license", "cecill license"), ("2 1", "2 0")),
-    ("upl", "universal permissive", ("universal permissive license",), ("1 0",)),
-    ("afl", "academic free", ("academic free license",), ("3 0", "2 1")),
-    ("osl", "open software license", ("open software license",), ("3 0", "2 1")),
-    ("cc-by-nc-nd", "cc by", ("cc by nc nd",), ("4 0", "3 0", "2 0")),
-    ("cc-by-nc-sa", "cc by", ("cc by nc sa",), ("4 0", "3 0", "2 0")),
-    ("cc-by-nc", "cc by", ("cc by nc",), ("4 0", "3 0", "2 0")),
-    ("cc-by-nd", "cc by", ("cc by nd",), ("4 0", "3 0", "2 0")),
-    ("cc-by-sa", "cc by", ("cc by sa",), ("4 0", "3 0", "2 0")),
-    ("cc-by", "cc by", ("cc by",), ("4 0", "3 0", "2 0")),
-    ("cc-by-nc-sa", "creative commons", ("creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"), ("4 0", "3 0")),
-    ("cc-by-nc", "creative commons", ("creative commons attribution noncommercial", "creative commons attribution non commercial"), ("4 0", "3 0")),
-    ("cc-by-sa", "creative commons", ("creative commons attribution sharealike", "creative commons attribution share alike"), ("4 0", "3 0")),
-    ("cc-by", "creative commons", ("creative commons attribution",), ("4 0", "3 0")),
-    ("cc0", "cc0", ("cc0", "creative commons zero"), ("1 0",)),
+    ("apache", ("apache license", "apache software license", "apache licence"), ("2 0", "1 1", "1 0")),
+    ("mit", ("mit license", "mit licence", "mit x11 license"), ()),
+    ("bsd", ("bsd license", "bsd licence", "berkeley software distribution license"), ("4 clause", "3 clause", "2 clause", "0 clause")),
+    ("agpl", ("affero general public license", "gnu affero general public license"), ("3", "1")),
+    ("lgpl", ("lesser general public license", "gnu lesser general public license"), ("3", "2 1")),
+    ("lgpl", ("library general public license",), ("2",)),
+    ("gpl", ("gnu general public license", "general public license", "gnu general public licence"), ("3", "2", "1")),
+    ("fdl", ("gnu free documentation license", "free documentation license"), ("1 3", "1 2", "1 1")),
+    ("mpl", ("mozilla public license", "mozilla public licence"), ("2 0", "1 1", "1 0")),
+    ("epl", ("eclipse public license",), ("2 0", "1 0")),
+    ("cddl", ("common development and distribution license",), ("1 1", "1 0")),
+    ("eupl", ("european union public licence", "european union public license"), ("1 2", "1 1")),
+    ("cpl", ("common public license",), ("1 0",)),
+    ("ipl", ("ibm public license",), ("1 0",)),
+    ("artistic", ("artistic license", "perl artistic license"), ("2 0", "1 0")),
+    ("boost", ("boost software license",), ("1 0",)),
+    ("zlib", ("zlib license", "zlib libpng license"), ()),
+    ("isc", ("isc license", "internet systems consortium license"), ()),
+    ("ncsa", ("university of illinois ncsa open source license", "ncsa open source license"), ()),
+    ("psf", ("python software foundation license",), ("2",)),
+    ("php", ("php license",), ("3 01", "3 0")),
+    ("ofl", ("sil open font license", "open font license"), ("1 1", "1 0")),
+    ("unlicense", ("the unlicense",), ()),
+    ("wtfpl", ("wtfpl",), ("2",)),
+    ("odbl", ("open database license", "open data commons open database license"), ("1 0",)),
+    ("pddl", ("public domain dedication and license",), ("1 0",)),
+    ("ogl", ("open government licence", "open government license"), ("3 0", "2 0", "1 0")),
+    ("ms-pl", ("microsoft public license",), ()),
+    ("ms-rl", ("microsoft reciprocal license",), ()),
+    ("openssl", ("openssl license",), ()),
+    ("cecill", ("cecill free software license", "cecill license"), ("2 1", "2 0")),
+    ("upl", ("universal permissive license",), ("1 0",)),
+    ("afl", ("academic free license",), ("3 0", "2 1")),
+    ("osl", ("open software license",), ("3 0", "2 1")),
+    ("cc-by-nc-nd", ("cc by nc nd",), ("4 0", "3 0", "2 0")),
+    ("cc-by-nc-sa", ("cc by nc sa",), ("4 0", "3 0", "2 0")),
+    ("cc-by-nc", ("cc by nc",), ("4 0", "3 0", "2 0")),
+    ("cc-by-nd", ("cc by nd",), ("4 0", "3 0", "2 0")),
+    ("cc-by-sa", ("cc by sa",), ("4 0", "3 0", "2 0")),
+    ("cc-by", ("cc by",), ("4 0", "3 0", "2 0")),
+    ("cc-by-nc-sa", ("creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"), ("4 0", "3 0")),
+    ("cc-by-nc", ("creative commons attribution noncommercial", "creative commons attribution non commercial"), ("4 0", "3 0")),
+    ("cc-by-sa", ("creative commons attribution sharealike", "creative commons attribution share alike"), ("4 0", "3 0")),
+    ("cc-by", ("creative commons attribution",), ("4 0", "3 0")),
+    ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
 )
 #: What may stand between a short name and its version: ``GPLv3``, ``GPL v3``, ``GPL-3``.
 _V = "(?: version | v(?: )?|v| )?"
@@ -166,25 +168,8 @@ FORMS = (
     ("(?:see|read) the {}", 3, 0.7),
     ("{}", 2, 0.6),
 )
-#: Notices that name no family: pattern, keyword, label, priority, confidence.
-NOTICES = (
-    ("all rights reserved", "rights reserved", "reserved", 2, 0.8),
-    ("some rights reserved", "rights reserved", "some-rights", 2, 0.7),
-    ("no rights reserved", "rights reserved", "public-domain", 2, 0.8),
-    ("(?:dedicated to|in|into) the public domain", "public domain", "public-domain", 3, 0.8),
-    ("permission is hereby granted free of charge", "permission is hereby", "mit", 4, 0.9),
-    ("redistribution and use in source and binary forms", "redistribution and use", "bsd", 4, 0.9),
-    ("permission to use copy modify (?:and or|and) distribute this software", "permission to use", "isc", 4, 0.9),
-    ("proprietary and (?:proprietary|confidential)", "proprietary and", "proprietary", 2, 0.6),
-    ("confidential and (?:proprietary|confidential)", "confidential and", "proprietary", 2, 0.6),
-    ("may not be reproduced", "may not be reproduced", "reserved", 2, 0.6),
-    ("copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", "copyright", 1, 0.4),
-)
-#: Every match holds one of these; a text without any has no licence.
-GATES = (
-    b"licen", b"reserved", b"cc", b"gpl", b"wtf", b"commons", b"public", b"permission", b"redistribution", b"proprietary", b"confidential", b"reproduced", b"copyright", b"spdx",
-    b"gfdl", b"asl", b"mpl", b"epl", b"cddl", b"eupl", b"ofl", b"bsd", b"x11", b"bsl",
-)
+#: Priority (higher first) and confidence of each table of signatures.
+RANKS = ((TEXTS, 6, 0.95), (NAMES, 3, 0.7), (LINKS, 5, 0.9), (EXCEPTIONS, 3, 0.6), (STATEMENTS, 2, 0.6), (NOTICES, 1, 0.4))
 
 
 @dataclass(frozen=True)
@@ -200,19 +185,33 @@ def _compiled(words: str) -> re.Pattern[bytes]:
     return re.compile(_EDGE % (rb"(?:" + words.encode().replace(b" ", _GAP) + rb")"))
 
 
+def keyword(pattern: str) -> str:
+    """The longest run of words outside the groups of a pattern: any match holds it."""
+    runs, depth, run = [], 0, ""
+    for k, c in enumerate(pattern + "(", 0):
+        optional = pattern[k + 1 : k + 2] == "?"
+        if depth == 0 and (c.isalnum() or c == " ") and not optional:
+            run += c
+            continue
+        runs.append(run.strip() if c in "(" else run.strip())
+        run = ""
+        depth += (c in "([") - (c in ")]")
+    return max(runs, key=len)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order; a rule's place breaks ties."""
     found = []
-    for label, keyword, names, versions in FAMILIES:
+    for label, names, versions in FAMILIES:
         for name in names:
             for version in (*versions, ""):
                 full = name + (f"(?: version | v(?: )?| ){version}" if version else "")
                 tag = label + (f"-{version.replace(' ', '.')}" if version else "")
                 for form, priority, confidence in FORMS:
-                    found.append(Rule(_compiled(form.format(full)), keyword if keyword in name else name, tag, priority + bool(version), confidence))
+                    found.append(Rule(_compiled(form.format(full)), keyword(name), tag, priority + bool(version), confidence))
     found += [Rule(_compiled(form.format(p)), k, label, priority + 1, confidence) for label, k, p in SIGNATURES for form, priority, confidence in FORMS]
-    found += [Rule(_compiled(p), k, *rest) for p, k, *rest in NOTICES]
+    found += [Rule(_compiled(p), keyword(p), label, priority, confidence) for table, priority, confidence in RANKS for label, p in table]
     found += [Rule(re.compile(re.escape(k.encode())), "spdx license identifier", label, 8, 1.0) for k, label in SPDX.items()]
     return tuple(found)
 
@@ -235,16 +234,32 @@ def _operands(low: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+def _automaton(words: dict[str, object]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for word, value in words.items():
+        found.add_word(word, value)
+    found.make_automaton()
+    return found
+
+
 @lru_cache(maxsize=1)
-def _by_keyword() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
+def _by_keyword() -> ahocorasick.Automaton:
+    """Finds keywords in a text whose gaps are single spaces; gives the rules behind each."""
     places: dict[str, list[int]] = {}
     for k, rule in enumerate(rules()[: -len(SPDX)]):
         places.setdefault(rule.keyword, []).append(k)
-    automaton = ahocorasick.Automaton()
-    for keyword in places:
-        automaton.add_word(keyword, keyword)
-    automaton.make_automaton()
-    return automaton, places
+    return _automaton(places)
+
+
+@lru_cache(maxsize=1)
+def gates() -> tuple[str, ...]:
+    """The longest word of each keyword, and the SPDX tag: a text without any has no licence."""
+    return tuple(sorted({max(rule.keyword.split(" "), key=len) for rule in rules()[: -len(SPDX)]} | {"spdx"}))
+
+
+@lru_cache(maxsize=1)
+def _gate() -> ahocorasick.Automaton:
+    return _automaton(dict.fromkeys(gates(), True))
 
 
 def suppressed(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -266,11 +281,10 @@ def suppressed(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, i
 
 def detect(low: bytes) -> list[tuple[int, int, Rule]]:
     """Detections in a lower-cased text, overlaps resolved."""
-    if not any(g in low for g in GATES):
+    if next(_gate().iter(low.decode("latin-1")), None) is None:
         return []
-    automaton, places = _by_keyword()
-    flat = re.sub(_GAP, b" ", low).decode("utf-8", "replace")
-    wanted = sorted({k for _, word in automaton.iter(flat) for k in places[word]})
+    flat = re.sub(_GAP, b" ", low).decode("latin-1")
+    wanted = sorted({k for _, places in _by_keyword().iter(flat) for k in places})
     spans = [(m.start(), m.end(), rules()[k].priority, k) for k in wanted for m in rules()[k].pattern.finditer(low)]
     if b"spdx" in low:
         spans += [(a, b, rules()[k].priority, k) for a, b, k in _operands(low)]
