@@ -8,8 +8,11 @@ hold one of the k (at most n - ceil(0.8 n) may be missing), so the search loses
 however long the document is. Candidates are confirmed by exact shingle containment.
 
 All of it is DataFrame expressions. A document's shingles are hashed in place and tested
-against the sketch inside the row, so texts are not shuffled; only rows with a hit go on.
-The sketch is a literal set while it is small (``LITERAL_COORDINATES``) and a join beyond.
+against the sketch where the row is, so neither texts nor shingles are shuffled; only rows
+with a hit go on. The sketch is a literal set while it is small (``LITERAL_COORDINATES``).
+Beyond, it is cut by hash into parts of ``BROADCAST_COORDINATES`` at most; each is broadcast to
+a pass over the documents, so a suite of any size is searched with bounded memory, and a
+shingle that many documents share is no hot key of a shuffle.
 
 Words are runs of non-blank characters, lower-cased. Defined results: an item with one to
 four words is one shingle of that width; without words it is found nowhere. A null text
@@ -24,12 +27,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD_JAVA, published
+from spanforge.llm.common import WORD_JAVA, cleared, published
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Most coordinates held as literals in the plan; beyond, they are joined.
+#: Most coordinates held as literals in the plan; beyond, they are broadcast in parts.
 LITERAL_COORDINATES = 20_000
+#: Coordinates of one part, about: a hash table of one long each.
+BROADCAST_COORDINATES = 1_000_000
 #: Most contaminated documents whose keys are broadcast to drop them.
 BROADCAST_KEYS = 300_000
 
@@ -87,6 +92,11 @@ def sketch(shingles: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, row_key, item_id, n_shared, n_item``: rows that hold an item."""
+    with cleared(docs.sparkSession):
+        return published(_contaminated(docs, benchmark), "item-pairs", keep=True)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shingles = published(item_shingles(benchmark), "items")
     coordinates = published(sketch(shingles), "item-sketch")
     widths = sorted(r["width"] for r in coordinates.select("width").distinct().collect())  # five at most
@@ -94,17 +104,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return rows.select("doc_id", F.lit(0).cast("long").alias("row_key"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).where(F.lit(False))
     words = _words(F.col("text"))
-    if coordinates.limit(LITERAL_COORDINATES + 1).count() <= LITERAL_COORDINATES:
+    size = coordinates.count()
+    if size <= LITERAL_COORDINATES:
         hits = F.lit(False)
         for width in widths:
             listed = [r["hash"] for r in coordinates.where(F.col("width") == width).select("hash").collect()]
             hits = hits | F.exists(_hashes(words, width), _among(listed))
         candidates = rows.where(hits)
     else:
-        own = F.flatten(F.array(*(F.transform(F.array_distinct(_hashes(words, w)), _tagged(w, "hash")) for w in widths)))
-        held = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode_outer(own).alias("s")).select("doc_id", "row_key", "s.width", "s.hash")
-        keys = held.join(coordinates, ["width", "hash"]).select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")).distinct()
-        candidates = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_key")), "left_semi")
+        own = F.array_distinct(F.flatten(F.array(*(_hashes(words, w) for w in widths))))
+        held = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode_outer(own).alias("hash"))
+        keys, parts = None, -(-size // BROADCAST_COORDINATES)
+        for part in range(parts):
+            some = coordinates.where(F.pmod("hash", F.lit(parts)) == part).select("hash").distinct()
+            found = held.join(F.broadcast(some), "hash", "left_semi").select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key"))
+            keys = found if keys is None else keys.unionByName(found)
+        keys = published(keys.distinct(), "item-hits")
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        candidates = rows.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_key")), "left_semi")
     # Exact containment of the candidates: shingles as strings, every item it may hold. They
     # are made distinct before they become structs, whose comparison is quadratic.
     exact = F.flatten(F.array(*(F.transform(F.array_distinct(_windows(words, w)), _tagged(w, "shingle")) for w in widths)))
@@ -131,7 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with every column."""
-    keys = published(contaminated(docs, benchmark).select(F.col("doc_id").alias("__lk_id"), F.col("row_key").alias("__lk_key")).distinct(), "leaks")
+    with cleared(docs.sparkSession):
+        keys = published(contaminated(docs, benchmark).select(F.col("doc_id").alias("__lk_id"), F.col("row_key").alias("__lk_key")).distinct(), "leaks", keep=True)
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lk_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__lk_key"))
     return docs.join(F.broadcast(keys) if few else keys, same, "left_anti")

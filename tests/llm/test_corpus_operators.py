@@ -121,8 +121,9 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
     rows.append((200, " ".join(f"z{k}" for k in range(20_000)) + " " + items[8][1]))
     bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")
     want = _leaks(rows, items)
-    for literal in (decontaminate.LITERAL_COORDINATES, 0):
-        monkeypatch.setattr(decontaminate, "LITERAL_COORDINATES", literal)
+    for literal, part, keys in ((decontaminate.LITERAL_COORDINATES, 10, 10), (0, 10**6, 10**6), (0, 17, 0)):
+        for name, limit in zip(("LITERAL_COORDINATES", "BROADCAST_COORDINATES", "BROADCAST_KEYS"), (literal, part, keys), strict=True):
+            monkeypatch.setattr(decontaminate, name, limit)
         got = decontaminate.leaks(_docs(spark, rows), bench).collect()
         assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got} == want
     left = decontaminate.without_leaks(_docs(spark, rows), bench)
