@@ -5,10 +5,15 @@ For each participant of a conversation the whole dialogue is rendered with that
 are nobody's. The mask lists the spans (first and last-but-one character, 0-based) of the
 speaker's own words in the rendered text, the ones to learn.
 
-A conversation comes in pieces of at most ``PIECE`` turns, in order: usually one, so that a
-conversation with a third of all rows is neither gathered in one task nor put in one string.
+A view is stored in pieces of ``PIECE`` turns, in order, so that a conversation with a third
+of all rows is neither gathered in one task nor put in one string. ``start`` and the mask
+count characters of the whole view, not of the piece: pieces put one behind the other are the
+whole dialogue, and their masks its mask. With ``whole``, a view is one row; that is for
+dialogues that fit one.
+
 Turns are numbered by three levels of counts (turn numbers in bands, turn numbers, ties in
-slices of a digest), each pre-aggregated; no window holds a whole conversation.
+slices of a digest), each pre-aggregated, and pieces are placed by two; no window holds a
+whole conversation.
 
 Defined results: null text is empty text; a null speaker is the name ``unknown``; null turns
 stand first; turns of equal number are ordered by the digest of speaker and text, and rows
@@ -22,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import published
+from spanforge.llm.common import cleared, published
 
 #: Turns of one piece.
 PIECE = 64
-#: Consecutive turn numbers of one band.
+#: Consecutive turn numbers, or pieces, of one band.
 BAND = 256
+#: Turns of a conversation that one key of the join with its participants takes.
+BLOCK = 1024
 SYSTEM = "system"
-#: Salts of the join of turns with participants: a conversation may hold a third of all rows.
-SALT = 16
 
 
 def numbered(turns: DataFrame) -> DataFrame:
@@ -52,20 +57,46 @@ def numbered(turns: DataFrame) -> DataFrame:
     return rows.join(starts, ["conv", "t", "slice"]).select("conv", "conv_id", "speaker", "text", (F.col("start") + inside).alias("at"))
 
 
-def perspectives(turns: DataFrame) -> DataFrame:
-    """``conv_id, perspective, piece, n_turns, text, mask``: one row for each view's piece."""
-    rows = published(numbered(turns), "chat-numbered")
+def _starts(sizes: DataFrame) -> DataFrame:
+    """``conv, perspective, piece, start`` from ``n``, the characters of each piece: by bands, then inside them."""
+    banded = sizes.withColumn("band", F.floor(F.col("piece") / BAND))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    view = ["conv", "perspective"]
+    bands = banded.groupBy(*view, "band").agg(F.sum("n").alias("n")).withColumn("band_at", before(view, "band")).drop("n")
+    return banded.withColumn("at", before([*view, "band"], "piece")).join(bands, [*view, "band"]).select(*view, "piece", (F.col("at") + F.col("band_at")).alias("start"))
+
+
+def perspectives(turns: DataFrame, whole: bool = False) -> DataFrame:
+    """``conv_id, perspective, piece, start, n_turns, text, mask``: a row for each view's piece, or for each ``whole`` view."""
+    with cleared(turns.sparkSession):
+        return published(_perspectives(turns, whole), "chat-views", keep=True)
+
+
+def _perspectives(turns: DataFrame, whole: bool) -> DataFrame:
+    rows = numbered(turns).withColumns({"piece": F.floor(F.col("at") / PIECE), "block": F.floor(F.col("at") / BLOCK)})
+    rows = published(rows, "chat-numbered")
     people = rows.where(F.col("speaker") != SYSTEM).select("conv", F.col("speaker").alias("perspective")).distinct()
-    people = people.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    views = rows.withColumn("salt", F.pmod(F.floor(F.col("at") / PIECE), F.lit(SALT)).cast("int")).join(people, ["conv", "salt"])
+    # However many turns a conversation has, a key of the join takes BLOCK of them.
+    blocks = rows.select("conv", "block").distinct()
+    views = rows.join(blocks.join(people, "conv"), ["conv", "block"])
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, "<|assistant|>\n").when(F.col("speaker") == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
-    views = views.select("conv", "conv_id", "perspective", F.floor(F.col("at") / PIECE).alias("piece"), "at", own.alias("own"), F.length(head).alias("head"), F.length("text").alias("body"), F.concat(head, "text", F.lit("\n<|end|>\n")).alias("part"))
+    views = views.select("conv", "conv_id", "perspective", "piece", "at", own.alias("own"), F.length(head).alias("head"), F.length("text").alias("body"), F.concat(head, "text", F.lit("\n<|end|>\n")).alias("part"))
     # A group has PIECE rows at most: gathering it is bounded.
     group = Window.partitionBy("conv", "perspective", "piece").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = views.withColumn("from", F.coalesce(F.sum(F.length("part")).over(group), F.lit(0)) + F.col("head"))
-    span = F.when(F.col("own") & (F.col("body") > 0), F.concat(F.col("from"), F.lit("-"), F.col("from") + F.col("body")))
-    gathered = placed.groupBy("conv", "conv_id", "perspective", "piece").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("at", "part", span.alias("span")))).alias("parts"))
+    span = F.when(F.col("own") & (F.col("body") > 0), F.struct(F.col("from").alias("a"), (F.col("from") + F.col("body")).alias("b")))
+    gathered = placed.groupBy("conv", "conv_id", "perspective", "piece").agg(F.count("*").alias("n_turns"), F.sum(F.length("part")).alias("n"), F.array_sort(F.collect_list(F.struct("at", "part", span.alias("span")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
-    mask = F.array_join(F.filter(F.transform("parts", lambda p: p["span"]), lambda s: s.isNotNull()), ",")
-    return gathered.select("conv_id", "perspective", "piece", "n_turns", text.alias("text"), mask.alias("mask"))
+    spans = F.filter(F.transform("parts", lambda p: p["span"]), lambda s: s.isNotNull())
+    gathered = published(gathered.select("conv", "conv_id", "perspective", "piece", "n_turns", "n", text.alias("text"), spans.alias("spans")), "chat-pieces")
+    starts = _starts(gathered.where("piece > 0").select("conv", "perspective").distinct().join(gathered.select("conv", "perspective", "piece", "n"), ["conv", "perspective"]))
+    found = gathered.join(starts, ["conv", "perspective", "piece"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat(F.col("start") + s["a"], F.lit("-"), F.col("start") + s["b"])), ",")
+    found = found.select("conv_id", "perspective", "piece", "start", "n_turns", "text", mask.alias("mask"))
+    if not whole:
+        return found
+    every = found.groupBy("conv_id", "perspective").agg(F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("piece", "text", "mask"))).alias("parts"))
+    joined = lambda name, by: F.array_join(F.filter(F.transform("parts", lambda p: p[name]), lambda x: x != ""), by).alias(name)
+    none = F.lit(0).cast("long")
+    return every.select("conv_id", "perspective", none.alias("piece"), none.alias("start"), "n_turns", joined("text", ""), joined("mask", ","))

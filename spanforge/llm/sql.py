@@ -10,9 +10,9 @@ views as (
   from numbered n join people p on n.conv_id is not distinct from p.conv_id),
 parts as (select *, head || text || chr(10) || '<|end|>' || chr(10) as part from views),
 placed as (
-  select *, length(head) + coalesce(sum(length(part)) over (partition by conv_id, perspective, piece order by pos rows between unbounded preceding and 1 preceding), 0) as start from parts)
-select conv_id, perspective, piece, count(*) as n_turns, string_agg(part, '' order by pos) as text,
-  coalesce(string_agg(case when own and length(text) > 0 then start::bigint || '-' || (start + length(text))::bigint end, ',' order by pos), '') as mask
+  select *, coalesce(sum(length(part)) over (partition by conv_id, perspective order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as place from parts)
+select conv_id, perspective, piece, min(place) as start, count(*) as n_turns, string_agg(part, '' order by pos) as text,
+  coalesce(string_agg(case when own and length(text) > 0 then (place + length(head)) || '-' || (place + length(head) + length(text)) end, ',' order by pos), '') as mask
 from placed group by conv_id, perspective, piece
 """
 
@@ -45,11 +45,12 @@ select n.doc_id, n.n::bigint as n_shingles, min(r.root) as component_id, n.doc_i
 
 OP10 = r"""
 with b as (select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark where item_id is not null),
-i as (select item_id, least(len(w), 5) as width, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) end) as g from b),
+i as (select distinct item_id, least(len(w), 5) as width, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) end) as g from b),
 t as (select item_id, count(*) as n_item from i group by 1),
 d as (select doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-s as (select doc_id, unnest(case when len(w) < 5 then [] else list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) end) as g from d),
-c as (select s.doc_id, i.item_id, count(*) as n_shared from s join i on s.g = i.g where i.width = 5 group by all)
+u as (select distinct width from i),
+s as (select doc_id, width, unnest(case when len(w) < width then [] else list_distinct(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k+width-1], ' '))) end) as g from d join u on true),
+c as (select s.doc_id, i.item_id, count(*) as n_shared from s join i on s.g = i.g and s.width = i.width group by all)
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from c join t using (item_id) where 100 * n_shared >= 80 * n_item
 """
 

@@ -235,7 +235,7 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert got[50].text == "" and got[51].text == "Menu home" and got[52].text is None and got[52].n_lines == 0
     copies = [(i, "shared one\nshared two\nshared three", "en", None, 9) for i in range(30)]
     whole = line_dedup.drop_boilerplate(spark.createDataFrame(copies, "doc_id long, text string, lang string, source string, n_chars long"), report=True).collect()
-    assert all(r.left_whole and r.text.startswith("shared one") for r in whole)
+    assert all(r.n_dropped == 0 and r.text.startswith("shared one") for r in whole)  # one page, 30 times
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):
@@ -264,6 +264,35 @@ def test_long_conversation_comes_in_pieces(spark):
     assert sorted(x for r in rows for x in r.text.split("\n") if x.startswith("t")) == sorted(f"t{k}" for k in range(500))
 
 
+def _view(turns, speaker):
+    """Text and mask of one speaker's view, by the definition."""
+    text, mask = "", []
+    order = sorted(set(turns), key=lambda t: (t[1], hashlib.md5(f"{t[2]}\x1f{t[3]}".encode()).hexdigest()))
+    for _, _, who, said in order:
+        text += "<|assistant|>\n" if who == speaker else "<|system|>\n" if who == "system" else f"<|user name={who}|>\n"
+        if who == speaker and said:
+            mask.append(f"{len(text)}-{len(text) + len(said)}")
+        text += said + "\n<|end|>\n"
+    return text, ",".join(mask)
+
+
+@pytest.mark.parametrize("n", [3, 64, 65, 500])
+def test_whole_dialogues_by_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(chat_format, "BAND", 3)
+    monkeypatch.setattr(chat_format, "BLOCK", 128)
+    turns = [(9, k // 3, ("ann", "bob", "system", "cy")[k * 7 % 4], f"t{k}" if k % 5 else "") for k in range(n)]
+    turns += [(8, 0, "ann", "x" * 100_000), (8, 1, "bob", "short")]
+    given = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    of = {c: [t for t in turns if t[0] == c] for c in (8, 9)}
+    want = {(c, who): _view(rows, who) for c, rows in of.items() for who in {t[2] for t in rows} - {"system"}}
+    assert {(r.conv_id, r.perspective): (r.text, r.mask) for r in chat_format.perspectives(given, whole=True).collect()} == want
+    rows = sorted(chat_format.perspectives(given).collect(), key=lambda r: r.piece)
+    for key, (text, mask) in want.items():
+        own = [r for r in rows if (r.conv_id, r.perspective) == key]
+        assert "".join(r.text for r in own) == text and ",".join(r.mask for r in own if r.mask) == mask
+        assert [r.start for r in own] == [len("".join(x.text for x in own[:i])) for i in range(len(own))]
+
+
 def test_bpe_equals_the_library_on_every_code_point():
     from spanforge.llm import bpe
     from spanforge.llm.queries import tokenizer_path
