@@ -43,7 +43,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
-    return wavelet.read_documents(shards)
+    return wavelet.read_documents(shards, END_ID).withColumnRenamed("n_symbol", "n_end_ids")
 
 
 def op7_signature_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,27 @@
 
 Texts are encoded once, dealt by ranges of ``doc_id`` and sorted there; a task cuts a
 shard file whenever it has gathered ``SHARD_TOKENS`` ids, so no shard grows with the
-data. A shard file holds bit planes, most significant first, and no rank directory: opening
-a ``Shard`` unpacks every plane to a byte a bit, and a plane's directory is built in memory
-when ``access``, ``rank``, ``select``, ``count`` or ``occurrences`` first needs it. They do
-not turn back into ids, but the first answer costs the whole shard. Files travel as the ``blob`` column of a table that
-Spark's writers commit in the shared folder, so any store that Spark reaches will do.
+data. A shard file holds bit planes, most significant first. Each plane has its rank
+directory (ones before every block of 512 bits) and is compressed in chunks of 8 KB, so
+``access``, ``rank``, ``select``, ``count`` and ``occurrences`` read the file itself: a
+lookup takes one directory entry and one chunk for each plane, and nothing else is expanded.
+Files travel as the ``blob`` column of a table that Spark's writers commit in the shared
+folder, so any store that Spark reaches will do.
 
 File layout, little-endian::
 
     4s magic 'SFWM' | u32 version | u32 levels | u64 n_tokens | u64 n_docs | u32 crc32 of the rest
     levels x u64 zeros                      symbols with a 0 in that plane
-    (3 + levels) x u64                      length of each zstd block that follows
-    block 0: doc ids, i64 | block 1: 1 byte a doc, id is null | block 2: lengths, u32
-    blocks 3..: plane bits, packed, most significant bit first
-
-Defined results: a null text is an empty text and has only the end id; ties of doc_id
-(repeated rows) stand side by side, ordered by their ids; rows with a null doc_id come
-last. An empty table gives an empty result.
+    3 x u64                                 length of each zstd block of the documents
+    levels x (blocks + 1) x u32             rank directories
+    levels x chunks x u32                   length of each zstd chunk of a plane
+    zstd: doc ids, i64 | zstd: 1 byte a doc, id is null | zstd: lengths, u32
+    chunks, plane by plane: bits, packed, most significant bit first
+
+Defined results: a null text is an empty text and has only the end id; ties of doc_id stand
+side by side, ordered by the digest of their ids (repeated rows are alike); rows with a null
+doc_id come last. An id that very many rows share is dealt over several ranges, by that
+digest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ import struct
 import zlib
 from array import array as array_of_u32
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +52,9 @@ from spanforge.llm.common import published
 SHARD_TOKENS = 1 << 20
 #: Rows of one range of doc ids: the unit that is dealt out and sorted.
 RANGE_ROWS = 2000
+#: Most ranges: their bounds are known to the driver. Beyond, ranges get longer and every range
+#: is a task of its own, which sorts on disk and cuts shards as it goes.
+RANGES = 20_000
 #: Pieces of one generation of a worker's memory; there are two.
 CACHE_PIECES = 600_000
 #: Characters of one group of texts encoded together.
@@ -55,39 +64,64 @@ _TAIL = r'(\p{L})([.,;:!?|%$&#*()"]+)( |$)'
 _FIRST = "\x01"
 #: White space other than single spaces and line feeds between non-spaces.
 _ODD = r"[\x01\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
-_MAGIC, _VERSION, _BLOCK = b"SFWM", 1, 512
+_MAGIC, _VERSION, _BLOCK = b"SFWM", 2, 512
+#: Blocks of one chunk: 8 KB of bits.
+_CHUNK = 128
 _HEAD = struct.Struct("<4sIIQQI")
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned 32-bit symbols."""
+    """Bit planes of a sequence of unsigned 32-bit symbols, packed, with rank directories."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        #: planes: one boolean array a level, the most significant bit first.
-        self.planes, self.n = planes, n
-        self.zeros = [int(n - p.sum()) for p in planes]
-        self._ones: list[np.ndarray | None] = [None] * len(planes)
+    def __init__(self, n: int, zeros: list[int], ones: np.ndarray, chunk: Callable[[int, int], bytes]):
+        #: ones[level]: set bits before each block; chunk(level, k): the packed bytes of a chunk.
+        self.n, self.zeros, self.ones, self._chunk = n, zeros, ones, chunk
 
     @classmethod
     def build(cls, symbols: np.ndarray) -> WaveletMatrix:
         symbols = np.asarray(symbols, np.uint32)
-        levels = max(1, int(symbols.max()).bit_length()) if len(symbols) else 1
+        n = len(symbols)
+        levels = max(1, int(symbols.max()).bit_length()) if n else 1
         rest = symbols.astype(np.uint16 if levels <= 16 else np.uint32)
-        planes = []
+        zeros, packed = [], []
         for shift in range(levels - 1, -1, -1):
             bit = (rest & rest.dtype.type(1 << shift)).astype(bool)
-            planes.append(bit)
+            packed.append(np.packbits(bit))
             ones = rest[bit]
-            np.compress(~bit, rest, out=(below := np.empty_like(rest))[: len(rest) - len(ones)])
-            below[len(rest) - len(ones) :] = ones
+            np.compress(~bit, rest, out=(below := np.empty_like(rest))[: n - len(ones)])
+            below[n - len(ones) :] = ones
+            zeros.append(n - len(ones))
             rest = below
-        return cls(planes, len(symbols))
+        blocks = -(-n // _BLOCK)
+        held = np.zeros((levels, blocks + 1), "<u4")
+        for level, plane in enumerate(packed):
+            whole = np.zeros(blocks * _BLOCK // 8, np.uint8)
+            whole[: len(plane)] = plane
+            held[level, 1:] = np.cumsum(np.bitwise_count(whole.reshape(blocks, _BLOCK // 8)).sum(1, dtype=np.uint32))
+        size = _CHUNK * _BLOCK // 8
+        return cls(n, zeros, held, lambda level, k: packed[level][k * size : (k + 1) * size].tobytes())
+
+    @property
+    def chunks(self) -> int:
+        return -(-self.n // (_CHUNK * _BLOCK))
+
+    def _bytes(self, level: int, k: int) -> np.ndarray:
+        """The bytes of a chunk, one row for each block."""
+        raw = np.frombuffer(self._chunk(level, k), np.uint8)
+        if len(raw) % (_BLOCK // 8):
+            raw = np.concatenate([raw, np.zeros(-len(raw) % (_BLOCK // 8), np.uint8)])
+        return raw.reshape(-1, _BLOCK // 8)
 
     def symbols(self) -> np.ndarray:
         """The whole sequence: undo the stable partitions from the last plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        if not self.n:
+            return np.zeros(0, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         values = np.zeros(self.n, kind)
-        for shift, (bit, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
+        for shift, level in enumerate(range(len(self.zeros) - 1, -1, -1)):
+            raw = b"".join(self._chunk(level, k) for k in range(self.chunks))
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
+            zeros = self.zeros[level]
             values[zeros:] |= kind(1 << shift)
             above = np.empty_like(values)
             np.place(above, bit, values[zeros:]) if zeros < self.n else None
@@ -95,65 +129,71 @@ class WaveletMatrix:
             values = above
         return values.astype(np.uint32)
 
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones of a plane before position ``i``: a block's count, then the rest of it."""
-        if self._ones[level] is None:
-            sums = np.add.reduceat(self.planes[level], np.arange(0, max(self.n, 1), _BLOCK), dtype=np.int64) if self.n else np.zeros(1, np.int64)
-            self._ones[level] = np.concatenate([[0], np.cumsum(sums)])
-        block = i // _BLOCK
-        return int(self._ones[level][block]) + int(np.count_nonzero(self.planes[level][block * _BLOCK : i]))
+    def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones of a plane before each position: the directory's count, then the rest of a block."""
+        block, rest = at // _BLOCK, at % _BLOCK
+        found = self.ones[level][block].astype(np.int64)
+        inside = rest > 0
+        for k in np.unique(block[inside] // _CHUNK).tolist():
+            own = np.flatnonzero(inside & (block // _CHUNK == k))
+            rows = self._bytes(level, k)[block[own] % _CHUNK]
+            whole, odd = rest[own] // 8, rest[own] % 8
+            counts = np.bitwise_count(rows).astype(np.int64)
+            found[own] += np.where(np.arange(_BLOCK // 8) < whole[:, None], counts, 0).sum(1)
+            found[own] += np.bitwise_count(rows[np.arange(len(own)), np.minimum(whole, _BLOCK // 8 - 1)] >> (8 - odd).astype(np.uint8))
+        return found
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) ``bit`` of a plane: search the blocks, then one block."""
-        self._rank1(level, 0)
-        ones = self._ones[level]
+        """Position of the k-th (from 0) ``bit`` of a plane: search the directory, then one block."""
+        ones = self.ones[level].astype(np.int64)
         upto = ones if bit else np.arange(len(ones)) * _BLOCK - ones
         block = int(np.searchsorted(upto, k, side="right")) - 1
-        inside = np.flatnonzero(self.planes[level][block * _BLOCK : (block + 1) * _BLOCK] == bool(bit))
-        return block * _BLOCK + int(inside[k - int(upto[block])])
+        bits = np.unpackbits(self._bytes(level, block // _CHUNK)[block % _CHUNK])
+        return block * _BLOCK + int(np.flatnonzero(bits == bit)[k - int(upto[block])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, plane in enumerate(self.planes):
-            bit, ones = bool(plane[i]), self._rank1(level, i)
+        for level, zeros in enumerate(self.zeros):
+            before, upto = self._ranks(level, np.array([i, i + 1])).tolist()
+            bit = upto - before
             value = value << 1 | bit
-            i = self.zeros[level] + ones if bit else i - ones
+            i = zeros + before if bit else i - before
         return value
 
-    def _span(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        """Where the symbol's occurrences in [lo, hi) lie below the last plane."""
-        levels = len(self.planes)
+    def _spans(self, symbol: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbol's occurrences in each [lo, hi) lie below the last plane."""
+        levels = len(self.zeros)
         if symbol < 0 or symbol >> levels:
-            return 0, 0
-        for level in range(levels):
-            a, b = self._rank1(level, lo), self._rank1(level, hi)
-            if symbol >> (levels - 1 - level) & 1:
-                lo, hi = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                lo, hi = lo - a, hi - b
-            if lo >= hi:
-                return 0, 0
+            return np.zeros_like(lo), np.zeros_like(lo)
+        for level, zeros in enumerate(self.zeros):
+            ranks = self._ranks(level, np.concatenate([lo, hi]))
+            a, b = ranks[: len(lo)], ranks[len(lo) :]
+            lo, hi = (zeros + a, zeros + b) if symbol >> (levels - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
-    def rank(self, symbol: int, i: int) -> int:
-        """Occurrences before position ``i``."""
-        lo, hi = self._span(symbol, 0, min(max(i, 0), self.n))
+    def counts(self, symbol: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Occurrences in each of many ranges [lo, hi)."""
+        lo, hi = self._spans(symbol, np.asarray(lo, np.int64), np.asarray(hi, np.int64))
         return hi - lo
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
-        lo, hi = self._span(symbol, max(lo, 0), self.n if hi is None else min(hi, self.n))
-        return hi - lo
+        lo, hi = max(lo, 0), self.n if hi is None else min(hi, self.n)
+        return int(self.counts(symbol, np.array([lo]), np.array([hi]))[0]) if lo < hi else 0
+
+    def rank(self, symbol: int, i: int) -> int:
+        """Occurrences before position ``i``."""
+        return self.count(symbol, 0, i)
 
     def select(self, symbol: int, k: int) -> int:
         """Position of the k-th occurrence, from 0."""
-        lo, hi = self._span(symbol, 0, self.n)
+        lo, hi = (int(x[0]) for x in self._spans(symbol, np.zeros(1, np.int64), np.array([self.n])))
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         i = lo + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = symbol >> (len(self.planes) - 1 - level) & 1
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bit = symbol >> (len(self.zeros) - 1 - level) & 1
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
@@ -164,34 +204,50 @@ class WaveletMatrix:
 def write_shard(doc_ids: list[int | None], lengths: list[int], symbols: np.ndarray) -> bytes:
     """The bytes of one shard file."""
     matrix = WaveletMatrix.build(symbols)
+    levels = range(len(matrix.zeros))
     press = zstandard.ZstdCompressor(level=1).compress
-    raw = [np.array([i or 0 for i in doc_ids], "<i8").tobytes(), bytes(i is None for i in doc_ids), np.array(lengths, "<u4").tobytes(), *(np.packbits(p).tobytes() for p in matrix.planes)]
-    blocks = [press(x) for x in raw]
-    rest = b"".join([struct.pack(f"<{len(matrix.zeros)}Q", *matrix.zeros), struct.pack(f"<{len(blocks)}Q", *map(len, blocks)), *blocks])
-    return _HEAD.pack(_MAGIC, _VERSION, len(matrix.planes), len(symbols), len(doc_ids), zlib.crc32(rest)) + rest
+    blocks = [press(x) for x in (np.array([i or 0 for i in doc_ids], "<i8").tobytes(), bytes(i is None for i in doc_ids), np.array(lengths, "<u4").tobytes())]
+    chunks = [press(matrix._chunk(level, k)) for level in levels for k in range(matrix.chunks)]
+    tables = [struct.pack(f"<{len(matrix.zeros)}Q", *matrix.zeros), struct.pack("<3Q", *map(len, blocks)), matrix.ones.tobytes(), np.array([len(x) for x in chunks], "<u4").tobytes()]
+    rest = b"".join([*tables, *blocks, *chunks])
+    return _HEAD.pack(_MAGIC, _VERSION, len(matrix.zeros), len(symbols), len(doc_ids), zlib.crc32(rest)) + rest
 
 
 class Shard:
-    """A shard file opened for reading."""
+    """A shard file opened for reading: only its tables of documents are expanded."""
 
     def __init__(self, blob: bytes):
         magic, version, levels, n, docs, crc = _HEAD.unpack_from(blob)
-        if (magic, version) != (_MAGIC, _VERSION) or zlib.crc32(blob[_HEAD.size :]) != crc:
+        if (magic, version) != (_MAGIC, _VERSION) or zlib.crc32(memoryview(blob)[_HEAD.size :]) != crc:
             raise ValueError("not a whole shard file")
-        at = _HEAD.size + 8 * levels
-        sizes = struct.unpack_from(f"<{3 + levels}Q", blob, at)
-        at += 8 * len(sizes)
-        blocks = []
+        at = _HEAD.size
+        zeros = list(struct.unpack_from(f"<{levels}Q", blob, at))
+        sizes = struct.unpack_from("<3Q", blob, at + 8 * levels)
+        at += 8 * levels + 24
+        blocks, chunks = -(-n // _BLOCK) + 1, -(-n // (_CHUNK * _BLOCK))
+        ones = np.frombuffer(blob, "<u4", levels * blocks, at).reshape(levels, blocks)
+        at += 4 * levels * blocks
+        lengths = np.frombuffer(blob, "<u4", levels * chunks, at).astype(np.int64)
+        at += 4 * levels * chunks
+        self._unpress = zstandard.ZstdDecompressor().decompress
+        parts = []
         for size in sizes:
-            blocks.append(zstandard.ZstdDecompressor().decompress(blob[at : at + size]) if size else b"")
+            parts.append(self._unpress(blob[at : at + size]) if size else b"")
             at += size
-        null = np.frombuffer(blocks[1], np.uint8)
-        self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(blocks[0], "<i8"), null, strict=True)]
-        self.lengths = np.frombuffer(blocks[2], "<u4").astype(np.int64)
+        ends = at + np.cumsum(lengths)
+        self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(parts[0], "<i8"), parts[1], strict=True)]
+        self.lengths = np.frombuffer(parts[2], "<u4").astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        self.matrix = WaveletMatrix([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in blocks[3:]], n)
+        self.expanded = 0
         assert docs == len(self.doc_ids)
 
+        def chunk(level: int, k: int) -> bytes:
+            self.expanded += 1
+            j = level * chunks + k
+            return self._unpress(blob[ends[j] - lengths[j] : ends[j]])
+
+        self.matrix = WaveletMatrix(n, zeros, ones, lru_cache(maxsize=64)(chunk))
+
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, first position in the shard, its ids), in the file's order."""
         symbols = self.matrix.symbols()
@@ -311,17 +367,17 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     """Encode, sort and write; return the published table of shard files."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = range_bounds(source)
+    ranges = Ranges.of(source)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, press = encoder(path), zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            ids = [press(np.append(x, np.uint32(end_id)).astype("<u4").tobytes()) for x in own.encode(b.column(1).to_pylist())]
-            bucket = [len(bounds) + 1 if i is None else bisect_right(bounds, i) for i in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(bucket, pa.int64()), b.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "payload"])
+            raw = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in own.encode(b.column(1).to_pylist())]
+            digest = [zlib.crc32(x) for x in raw]
+            bucket = [ranges.number(i, d) for i, d in zip(b.column(0).to_pylist(), digest, strict=True)]
+            yield pa.record_batch([pa.array(bucket, pa.int64()), b.column(0), pa.array(digest, pa.int64()), pa.array(map(press, raw), pa.binary())], ["bucket", "doc_id", "digest", "payload"])
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds) // 8)
-    dealt = source.mapInArrow(encode, "bucket long, doc_id long, payload binary").repartition(tasks, "bucket")
+    dealt = source.mapInArrow(encode, "bucket long, doc_id long, digest long, payload binary").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges.tasks), "bucket")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
@@ -332,7 +388,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
             return pa.record_batch([pa.array([x], kind) for x, kind in ((bucket, pa.int64()), (part, pa.int64()), (len(ids), pa.int64()), (total, pa.int64()), (blob, pa.binary()))], ["bucket", "part", "n_docs", "n_tokens", "blob"])
 
         for b in batches:
-            for key, i, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, i, payload in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
                 if ids and (key != bucket or total >= SHARD_TOKENS):
                     yield flush()
                     part = part + 1 if key == bucket else 0
@@ -346,31 +402,60 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         if ids:
             yield flush()
 
-    ordered = dealt.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "payload")
+    ordered = dealt.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "digest", "payload")
     return published(ordered.mapInArrow(pack, _SHARDS), "token-shards")
 
 
-def range_bounds(source: DataFrame) -> list[int]:
-    """Doc ids that part the ranges, from a mergeable quantile summary of one column.
-
-    At most 4000 of them leave the cluster: they only say how finely rows are dealt, as
-    a task cuts its shards by size.
-    """
-    ranges = min(4000, -(-source.count() // RANGE_ROWS))
-    share = [k / ranges for k in range(1, ranges)]
-    return sorted(set(source.agg(F.percentile_approx("doc_id", share, 100_000).alias("c")).first()["c"] or [])) if share else []
+@dataclass(frozen=True)
+class Ranges:
+    """Consecutive ranges of doc ids, numbered in order; an id with many rows has several of its own."""
 
+    #: Distinct bounds, the number of the range below each, and how many an id that is a bound has.
+    bounds: list[int]
+    first: list[int]
+    own: list[int]
+    #: Ranges of rows without an id.
+    nulls: int
+    tasks: int
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Read shard files back: ``doc_id, start, n_tokens, ids_crc32``."""
+    @classmethod
+    def of(cls, source: DataFrame) -> Ranges:
+        """Bounds from a mergeable quantile summary of one column; a bound met twice is an id that fills ranges."""
+        rows, filled = source.agg(F.count("*"), F.count("doc_id")).first()
+        ranges = min(RANGES, -(-rows // RANGE_ROWS))
+        share = [k / ranges for k in range(1, ranges)]
+        found = Counter(source.agg(F.percentile_approx("doc_id", share, 10 * RANGES).alias("c")).first()["c"] or []) if share else {}
+        bounds = sorted(found)
+        own = [found[x] if found[x] > 1 else 0 for x in bounds]
+        first = [0]
+        for k in own:
+            first.append(first[-1] + 1 + k)
+        return cls(bounds, first, own, max(1, -(-(rows - filled) * ranges // max(rows, 1))), min(ranges, -(-rows // (8 * RANGE_ROWS))))
+
+    def number(self, doc_id: int | None, digest: int) -> int:
+        """The range of a row; ``digest`` (32 bits) parts the rows of one id."""
+        if doc_id is None:
+            return self.first[-1] + 1 + (digest * self.nulls >> 32)
+        k = bisect_right(self.bounds, doc_id)
+        if not k:
+            return 0
+        if self.bounds[k - 1] == doc_id and self.own[k - 1]:
+            return self.first[k - 1] + 1 + (digest * self.own[k - 1] >> 32)
+        return self.first[k]
+
+
+def read_documents(shards: DataFrame, symbol: int) -> DataFrame:
+    """Read shard files back: ``doc_id, start, n_tokens, ids_crc32, n_symbol``; the last is counted by rank."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, part, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = [(i, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, at, ids in Shard(blob).documents()]
-                yield pa.record_batch([pa.array([bucket] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["bucket", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
+                shard = Shard(blob)
+                rows = [(i, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, at, ids in shard.documents()]
+                columns = [[bucket] * len(rows), [part] * len(rows), *zip(*rows, strict=True), shard.matrix.counts(symbol, shard.starts[:-1], shard.starts[1:])]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["bucket", "part", "doc_id", "at", "n_tokens", "ids_crc32", "n_symbol"])
 
-    rows = shards.select("bucket", "part", "blob").mapInArrow(unpack, "bucket long, part long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("bucket", "part", "blob").mapInArrow(unpack, "bucket long, part long, doc_id long, at long, n_tokens long, ids_crc32 long, n_symbol long")
     # Offsets by three levels of sums, so that no window grows with the data's size.
     sizes = shards.select("bucket", "part", "n_tokens", F.floor(F.col("bucket") / 1024).alias("band"))
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -378,4 +463,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
     of_bucket = sizes.groupBy("band", "bucket").agg(F.sum("n_tokens").alias("n")).select("band", "bucket", F.coalesce(F.sum("n").over(before("band", "bucket")), F.lit(0)).alias("bucket_at"))
     of_part = sizes.select("bucket", "part", F.coalesce(F.sum("n_tokens").over(before("bucket", "part")), F.lit(0)).alias("part_at"))
     offsets = of_part.join(of_bucket, "bucket").join(of_band, "band").select("bucket", "part", (F.col("part_at") + F.col("bucket_at") + F.col("band_at")).alias("offset"))
-    return rows.join(offsets, ["bucket", "part"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offsets, ["bucket", "part"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_symbol")

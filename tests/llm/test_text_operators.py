@@ -88,6 +88,41 @@ def test_wavelet_answers():
             assert m.rank(s, len(symbols) // 2) == sum(p < len(symbols) // 2 for p in places)
 
 
+def test_lookups_read_the_file_and_not_all_planes():
+    rng = np.random.default_rng(9)
+    symbols = np.concatenate([rng.integers(0, 50_000, 300_000), np.repeat(7, 1000), rng.integers(0, 9, 100_001)]).astype(np.uint32)
+    lengths = [len(symbols) - 5, 0, 5]
+    blob = wavelet.write_shard([1, 2, None], lengths, symbols)
+    levels = int(symbols.max()).bit_length()
+    for i in rng.integers(0, len(symbols), 40).tolist():
+        shard = wavelet.Shard(blob)
+        assert shard.matrix.access(i) == symbols[i] and shard.expanded <= levels
+    shard = wavelet.Shard(blob)
+    assert shard.matrix.count(7) == int((symbols == 7).sum()) and shard.expanded <= 2 * levels < shard.matrix.chunks * levels
+    for s in (7, int(symbols[0]), 49_999, 60_000, 1 << 20):
+        places = np.flatnonzero(symbols == s)
+        assert shard.matrix.occurrences(s)[:200] == places[:200].tolist()
+        lo, hi = np.sort(rng.integers(0, len(symbols) + 1, (2, 300)), 0)
+        assert shard.matrix.counts(s, lo, hi).tolist() == [int(((places >= a) & (places < b)).sum()) for a, b in zip(lo, hi, strict=True)]
+    assert (shard.matrix.symbols() == symbols).all()
+    with pytest.raises(IndexError):
+        shard.matrix.access(len(symbols))
+
+
+def test_an_id_of_many_rows_has_ranges_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "RANGE_ROWS", 10)
+    rng = random.Random(3)
+    rows = [(7, f"text {rng.randrange(10**6)}") for _ in range(300)] + [(k, f"other {k}") for k in range(200)] + [(None, f"lost {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges = wavelet.Ranges.of(docs)
+    numbers = [ranges.number(i, d) for i in (6, 7, 8, None) for d in (0, 1 << 30, (1 << 32) - 1)]
+    assert numbers == sorted(numbers) and len(set(numbers[3:6])) == 3 and len(set(numbers[9:])) == 3
+    found = sorted(wavelet.read_documents(wavelet.write_shards(docs, tokenizer_path("byte_bpe_50k.json"), 2), 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows if i is not None) + [None] * 100
+    assert [r.start for r in found] == [sum(r.n_tokens for r in found[:k]) for k in range(len(found))] and all(r.n_symbol == 1 for r in found)
+    assert len({r.ids_crc32 for r in found if r.doc_id == 7}) > 250
+
+
 def test_wavelet_file_is_checked():
     blob = wavelet.write_shard([4, None], [2, 0], np.array([9, 8], np.uint32))
     shard = wavelet.Shard(blob)
@@ -110,14 +145,14 @@ def test_shards_round_trip(odd, empty, monkeypatch):
     path, lib = tokenizer_path("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.json")
     shards = wavelet.write_shards(odd, path, 2)
     assert shards.count() > 2
-    got = sorted(((r.doc_id if r.doc_id is not None else 99), r.start, r.n_tokens, r.ids_crc32) for r in wavelet.read_documents(shards).collect())
+    got = sorted(((r.doc_id if r.doc_id is not None else 99), r.start, r.n_tokens, r.ids_crc32) for r in wavelet.read_documents(shards, 2).collect())
     at, want = 0, []
     for i, text, *_ in sorted(ODD, key=lambda r: 99 if r[0] is None else r[0]):
         ids = [*lib.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((99 if i is None else i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
-    assert wavelet.read_documents(wavelet.write_shards(empty, path, 2)).count() == 0
+    assert wavelet.read_documents(wavelet.write_shards(empty, path, 2), 2).count() == 0
 
 
 def test_machine_is_the_pairwise_sum():
