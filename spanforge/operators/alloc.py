@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,14 +40,25 @@ def words_over_cue(df: DataFrame, key: str, text: Column, total: int) -> DataFra
 
 
 def greedy_bins(df: DataFrame, key: str, order: str, length: str, limit: int) -> DataFrame:
-    """Fill bins in order up to a limit: an ordered fold inside one row for each key."""
-    item = F.struct(F.col(order).alias("o"), F.col(length).alias("n"))
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("bin"), F.expr("cast(array() as array<struct<o:bigint,bin:int>>)").alias("out"))
+    """Fill bins in order up to a limit.
+
+    Rows are sorted by key and order inside a partition and folded as they stream by: a task
+    holds one batch and three numbers, however many rows a key has.
+    """
 
-    def step(a: Column, x: Column) -> Column:
-        over = (F.size(a["out"]) > 0) & (a["filled"] + x["n"] > limit)
-        bin_ = F.when(over, a["bin"] + 1).otherwise(a["bin"])
-        return F.struct(F.when(over, x["n"]).otherwise(a["filled"] + x["n"]).alias("filled"), bin_.alias("bin"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), bin_.alias("bin")))).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, filled, bin_ = None, 0, 0
+        for batch in batches:
+            bins = []
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not bins and at is None or own != at:
+                    at, filled, bin_ = own, n, 0
+                elif filled + n > limit:
+                    filled, bin_ = n, bin_ + 1
+                else:
+                    filled += n
+                bins.append(bin_)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bins, pa.int32())], [key, order, "bin"])
 
-    return rows.select(key, F.explode(F.aggregate("items", empty, step)["out"]).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.bin").alias("bin"))
+    rows = df.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(length)).repartition(key).sortWithinPartitions(key, order, length)
+    return rows.mapInArrow(fold, f"{key} long, {order} long, bin int")

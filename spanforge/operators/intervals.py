@@ -12,6 +12,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 #: Gap up to which neighbours are one, least length kept, and sliver absorbed (microseconds).
 JOIN_GAP, LEAST_CUT, SLIVER = 1, 20_000, 40_000
+#: Width of the time buckets that joins of points with spans are made on (microseconds): a day.
+BUCKET = 86_400_000_000
 
 
 def ordered(key: str, *order: str) -> WindowSpec:
@@ -75,15 +77,21 @@ def conflicts(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("prev_id", F.lag("event_id").over(w)).withColumn("prev_stop", F.lag("stop").over(w)).where("prev_stop > start")
 
 
-def split_at(merged: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+def bucketed(spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``spans`` once for each time bucket ``b`` that they meet, their last moment included."""
+    return spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
+
+
+def split_at(merged: DataFrame, markers: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
     """Cut spans at the markers strictly inside them; pieces are numbered in order.
 
-    The join with markers is a containment join on the key; a boundary list per span then
-    becomes consecutive pieces.
+    Markers meet the spans of their key and time bucket alone; a marker lies in one bucket, so
+    no pair comes twice. The cuts of a span, which this gathers, become consecutive pieces.
     """
-    inside = merged.join(markers, key, "left").where(F.col("mark").isNull() | ((F.col("mark") > F.col("start")) & (F.col("mark") < F.col("stop"))) | F.lit(True))
-    cuts = F.array_sort(F.array_distinct(F.collect_list(F.when((F.col("mark") > F.col("start")) & (F.col("mark") < F.col("stop")), F.col("mark")))))
-    grouped = inside.groupBy(key, "island", "start", "stop").agg(cuts.alias("cuts"))
+    spans = merged.select(key, "island", "start", "stop")
+    points = markers.withColumn("b", F.floor(F.col("mark") / bucket))
+    pairs = bucketed(spans, bucket).join(points, [key, "b"]).where("mark > start and mark < stop").select(key, "island", "start", "stop", "mark")
+    grouped = spans.withColumn("mark", F.lit(None).cast("long")).unionByName(pairs).groupBy(key, "island", "start", "stop").agg(F.array_sort(F.collect_set("mark")).alias("cuts"))
     bounds = F.concat(F.array("start"), F.col("cuts"), F.array("stop"))
     pieces = grouped.select(key, "island", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("cuts") + 1), lambda i: F.struct(F.get(bounds, i - 1).alias("start"), F.get(bounds, i).alias("stop")))).alias("piece", "p"))
     return pieces.select(key, "island", "piece", F.col("p.start").alias("start"), F.col("p.stop").alias("stop"))
@@ -96,12 +104,13 @@ def timeline(pieces: DataFrame, key: str, speed: Column) -> DataFrame:
     return out.withColumn("out_start", F.coalesce(F.sum("length").over(earlier(ordered(key, "start"))), F.lit(0))).withColumn("speed", speed)
 
 
-def remap(points: DataFrame, laid: DataFrame, key: str) -> DataFrame:
+def remap(points: DataFrame, laid: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
     """Source time to output time; null inside a cut; the earlier piece wins a shared edge."""
-    p, t = points.alias("p"), laid.alias("t")
-    hit = p.join(t, (F.col(f"p.{key}") == F.col(f"t.{key}")) & (F.col("p.at") >= F.col("t.start")) & (F.col("p.at") <= F.col("t.stop")), "left")
-    place = F.col("t.out_start") + F.floor((F.col("p.at") - F.col("t.start")) * 100 / F.col("t.speed")).cast("long")
-    return hit.groupBy(F.col(f"p.{key}").alias(key), F.col("p.event_id").alias("event_id"), F.col("p.at").alias("at")).agg(F.min_by(place, F.col("t.start")).alias("out_at"))
+    pieces = bucketed(laid.select(F.col(key).alias("t_key"), "start", "stop", "out_start", "speed"), bucket)
+    near = (F.col(key) == F.col("t_key")) & (F.col("p_b") == F.col("b")) & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("stop"))
+    hit = points.withColumn("p_b", F.floor(F.col("at") / bucket)).join(pieces, near, "left")
+    place = F.col("out_start") + F.floor((F.col("at") - F.col("start")) * 100 / F.col("speed")).cast("long")
+    return hit.groupBy(key, "event_id", "at").agg(F.min_by(place, F.col("start")).alias("out_at"))
 
 
 def shifted(df: DataFrame, key: str, is_insert: Column, length: Column) -> DataFrame:
@@ -112,10 +121,12 @@ def shifted(df: DataFrame, key: str, is_insert: Column, length: Column) -> DataF
     return df.withColumn("moved", F.col("start") + added - own)
 
 
-def containment(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
+def containment(outer: DataFrame, inner: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
     """Inner spans inside an outer one; ``inner`` rows without any keep a null."""
-    o, i = outer.alias("o"), inner.alias("i")
-    return i.join(o, (F.col(f"i.{key}") == F.col(f"o.{key}")) & (F.col("i.start") >= F.col("o.start")) & (F.col("i.stop") <= F.col("o.stop")), "left").select(f"i.{key}", "i.event_id", F.col("o.island").alias("island"))
+    o = bucketed(outer.select(key, "island", "start", "stop"), bucket).alias("o")
+    i = inner.withColumn("b", F.floor(F.col("start") / bucket)).alias("i")
+    near = (F.col(f"i.{key}") == F.col(f"o.{key}")) & (F.col("i.b") == F.col("o.b")) & (F.col("i.start") >= F.col("o.start")) & (F.col("i.stop") <= F.col("o.stop"))
+    return i.join(o, near, "left").select(f"i.{key}", "i.event_id", F.col("o.island").alias("island"))
 
 
 def point_in_window(points: DataFrame, windows: DataFrame, bucket: int) -> DataFrame:

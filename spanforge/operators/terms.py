@@ -45,14 +45,14 @@ def dominant_vocab(rows: DataFrame, key: str, lines: DataFrame, k: int = 15) ->
 def best_predecessor(counts: DataFrame, key: str) -> DataFrame:
     """For each line the most similar of its BACK predecessors, by cosine of term counts.
 
-    ``counts``: ``key, idx, term, n``. Joined on (key, term) with a bound on the distance.
+    ``counts``: ``key, idx, term, n``. A line's terms are sent to the BACK lines behind it, so
+    the join is an equality on (key, idx, term) and a frequent term of a long text meets BACK
+    others and not all of itself. Norms travel with the terms.
     """
-    norms = counts.groupBy(key, "idx").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    a, b = counts.alias("a"), counts.alias("b")
-    near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.term") == F.col("b.term")) & (F.col("b.idx") < F.col("a.idx")) & (F.col("b.idx") >= F.col("a.idx") - BACK)
-    dots = a.join(b, near).groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx"), F.col("b.idx").alias("prev")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("dot"))
-    left, right = norms.select(key, "idx", F.col("norm").alias("na")), norms.select(key, F.col("idx").alias("prev"), F.col("norm").alias("nb"))
-    scored = dots.join(left, [key, "idx"]).join(right, [key, "prev"]).withColumn("cosine", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6))
+    line = counts.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key, "idx")).cast("double")))
+    sent = line.select(key, F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + BACK)).alias("idx"), "term", F.col("idx").alias("prev"), F.col("n").alias("m"), F.col("norm").alias("other"))
+    dots = line.join(sent, [key, "idx", "term"]).groupBy(key, "idx", "prev", "norm", "other").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    scored = dots.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6))
     return scored.groupBy(key, "idx").agg(F.max("cosine").alias("cosine"), F.min_by("prev", F.struct(-F.col("cosine"), -F.col("prev"))).alias("prev"))
 
 

@@ -10,31 +10,33 @@ from spanforge.functions import text as T
 from spanforge.operators import intervals, rank, sequential
 from spanforge.plans import retrieval
 from spanforge.plans import text as text_plan
-from spanforge.sources.catalog import lines, spans, table
+from spanforge.sources.catalog import bare_lines, lines, spans, table
 
 MINUTE = 60_000_000
 
 
 def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).select("doc_id", "idx", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    rows = bare_lines(spark, d).select("doc_id", "idx", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
     return sequential.grouped(rows, "doc_id", ["idx"], sequential.repetition, "doc_id long, idx long, suggestion string, similarity double")
 
 
 def tangent_runs(spark: SparkSession, d: str) -> DataFrame:
     overlap = text_plan.subject_overlap(spark, d).select("doc_id", "idx", "overlap")
     marked = F.col("text").rlike("(?i)^(by|for|that|pour|para|nicht)\\b")
-    rows = lines(spark, d).select("doc_id", "idx", marked.alias("marked")).join(overlap, ["doc_id", "idx"], "left").na.fill(0.0, ["overlap"])
+    rows = bare_lines(spark, d).select("doc_id", "idx", marked.alias("marked")).join(overlap, ["doc_id", "idx"], "left").na.fill(0.0, ["overlap"])
     return sequential.grouped(rows, "doc_id", ["idx"], sequential.tangents, "doc_id long, first_idx long, last_idx long, n_rows long")
 
 
 def review_merge(spark: SparkSession, d: str) -> DataFrame:
     """Proposals of the detectors, merged: strongest suggestion, its first category, all reasons."""
     fillers = text_plan.filler_density(spark, d).select("doc_id", "idx", F.lit(1).alias("detector"), F.lit("REVIEW").alias("suggestion"), F.lit("filler").alias("category"), F.lit(0.6).alias("confidence"))
-    notices = text_plan.intent_class(spark, d).where("intent = 'legal'").select("doc_id", "idx", F.lit(0).alias("detector"), F.lit("CUT").alias("suggestion"), F.lit("notice").alias("category"), F.lit(0.9).alias("confidence"))
-    shouts = text_plan.intent_class(spark, d).where("intent = 'reaction'").select("doc_id", "idx", F.lit(2).alias("detector"), F.lit("REVIEW").alias("suggestion"), F.lit("shout").alias("category"), F.lit(0.5).alias("confidence"))
+    proposal = lambda detector, level, category, share: F.struct(F.lit(detector).alias("detector"), F.lit(level).alias("suggestion"), F.lit(category).alias("category"), F.lit(share).alias("confidence"))
+    intent = text_plan.intent_of(F.col("text"))
+    spoken = bare_lines(spark, d).select("doc_id", "idx", F.when(intent == "legal", proposal(0, "CUT", "notice", 0.9)).when(intent == "reaction", proposal(2, "REVIEW", "shout", 0.5)).alias("p"))
+    spoken = spoken.where("p is not null").select("doc_id", "idx", "p.*")
     stale = text_plan.fresh_terms(spark, d).where("fresh = 0").select("doc_id", "idx", F.lit(3).alias("detector"), F.lit("CUT").alias("suggestion"), F.lit("nothing new").alias("category"), F.lit(0.7).alias("confidence"))
     level = F.when(F.col("suggestion") == "CUT", 2).otherwise(1)
-    every = fillers.unionByName(notices).unionByName(shouts).unionByName(stale).withColumn("level", level)
+    every = fillers.unionByName(spoken).unionByName(stale).withColumn("level", level)
     top = F.max("level").over(Window.partitionBy("doc_id", "idx"))
     merged = every.withColumn("top", top).groupBy("doc_id", "idx").agg(
         F.min_by("suggestion", F.struct(-F.col("level"), F.col("detector"))).alias("suggestion"), F.min_by("category", F.struct(-F.col("level"), F.col("detector"))).alias("category"),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as T
 from spanforge.operators import terms
-from spanforge.sources.catalog import lines, table
+from spanforge.sources.catalog import bare_lines, lines, placed_lines, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def content_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.term_rows(lines(spark, d), ["doc_id", "idx"], T.content_bag(F.col("text")))
+    return terms.term_rows(bare_lines(spark, d), ["doc_id", "idx"], T.content_bag(F.col("text")))
 
 
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +39,12 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dominant_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return terms.dominant_vocab(_terms(spark, d), "doc_id", lines(spark, d)).select("doc_id", "term", "df", "total", "place")
+    return terms.dominant_vocab(_terms(spark, d), "doc_id", bare_lines(spark, d)).select("doc_id", "term", "df", "total", "place")
 
 
 def dominant_terms_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Terms in more than a quarter of a document's lines."""
-    size = lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines")).where("n_lines >= 4")
+    size = bare_lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines")).where("n_lines >= 4")
     df = _terms(spark, d).groupBy("doc_id", "term", "idx").count().groupBy("doc_id", "term").agg(F.count("*").alias("df"))
     return df.join(size, "doc_id").where("df * 4 > n_lines").select("doc_id", "term", "df", "n_lines")
 
@@ -62,11 +62,11 @@ def filler_density(spark: SparkSession, d: str) -> DataFrame:
 
 
 def syllable_weight(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("doc_id").agg(F.round(F.sum(T.chunk_weight(F.col("text"))), 3).alias("weight"))
+    return bare_lines(spark, d).groupBy("doc_id").agg(F.round(F.sum(T.chunk_weight(F.col("text"))), 3).alias("weight"))
 
 
 def clause_weight(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("doc_id").agg(F.round(F.sum(T.block_weight(F.col("text"))), 3).alias("weight"))
+    return bare_lines(spark, d).groupBy("doc_id").agg(F.round(F.sum(T.block_weight(F.col("text"))), 3).alias("weight"))
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -89,11 +89,17 @@ def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intro_outro(spark: SparkSession, d: str) -> DataFrame:
-    """First and last line that touches the subject; long leads and tails are flagged."""
-    touch = subject_overlap(spark, d).where("hits > 0").select("doc_id", "idx")
-    rows = lines(spark, d).join(touch.withColumn("touch", F.lit(True)), ["doc_id", "idx"], "left")
-    found = rows.groupBy("doc_id").agg(F.min(F.when(F.col("touch"), F.col("start"))).alias("lead"), F.min(F.when(F.col("touch"), F.col("idx"))).alias("lead_rows"), F.max(F.when(F.col("touch"), F.col("stop"))).alias("last"), F.max("stop").alias("total"))
-    return found.where("lead is not null").select("doc_id", "lead", (F.col("total") - F.col("last")).alias("tail"), ((F.col("lead") > 2500) & (F.col("lead_rows") >= 3)).alias("long_intro"), (F.col("total") - F.col("last") > 2000).alias("long_outro"))
+    """First and last line that touches the subject; long leads and tails are flagged.
+
+    A document's few subject words are joined to it, and its lines are read inside the row.
+    """
+    subject = dominant_vocab(spark, d).groupBy("doc_id").agg(F.collect_set("term").alias("subject"))
+    # the subject is an element's field: a lambda sees it without reading the column again
+    both = F.transform(placed_lines(F.col("text")), lambda x, i: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), i.alias("idx"), F.arrays_overlap(T.content_bag(x["text"]), F.col("subject")).alias("touch")))
+    rows = _docs(spark, d).join(subject, "doc_id").select("doc_id", both.alias("l")).withColumn("hit", F.filter("l", lambda x: x["touch"])).where(F.size("hit") > 0)
+    lead, last, total = F.get("hit", F.lit(0)), F.element_at("hit", -1)["stop"], F.element_at("l", -1)["stop"]
+    long = ((lead["start"] > 2500) & (lead["idx"] >= 3)).alias("long_intro")
+    return rows.select("doc_id", lead["start"].alias("lead"), (total - last).alias("tail"), long, (total - last > 2000).alias("long_outro"))
 
 
 def first_mention(spark: SparkSession, d: str) -> DataFrame:
@@ -121,24 +127,32 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return found.where("inside and not lower").select("doc_id", "name")
 
 
+def intent_of(text: Column) -> Column:
+    """The class of a line: the first rule that fits names it."""
+    low = F.lower(text)
+    first = F.when(low.rlike("[0-9]{4}"), "data").when(low.contains("license"), "legal").when(low.contains("!"), "reaction")
+    return first.when(F.length(text) < 20, "title").when(low.contains(","), "explanation").otherwise("statement")
+
+
+def importance_of(text: Column, idx: Column) -> Column:
+    """Additive score of a line, capped at 1."""
+    part = lambda test, value: F.when(test, value).otherwise(0.0)
+    score = F.lit(0.2) + part(text.rlike("[0-9]"), 0.3) + part(F.size(T.words(text)) <= 8, 0.2) + part(text.contains("!"), 0.2) + part(idx == 0, 0.3)
+    return F.round(F.least(score, F.lit(1.0)), 3)
+
+
 def intent_class(spark: SparkSession, d: str) -> DataFrame:
-    """First rule that fits a line names its class."""
-    low = F.lower("text")
-    rule = F.when(low.rlike("[0-9]{4}"), "data").when(low.contains("license"), "legal").when(low.contains("!"), "reaction").when(F.length("text") < 20, "title").when(low.contains(","), "explanation").otherwise("statement")
-    return lines(spark, d).select("doc_id", "idx", rule.alias("intent"))
+    return bare_lines(spark, d).select("doc_id", "idx", intent_of(F.col("text")).alias("intent"))
 
 
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    """Additive score of a line, capped at 1."""
-    n = F.size(T.words(F.col("text")))
-    score = F.lit(0.2) + F.when(F.col("text").rlike("[0-9]"), 0.3).otherwise(0.0) + F.when(n <= 8, 0.2).otherwise(0.0) + F.when(F.col("text").contains("!"), 0.2).otherwise(0.0) + F.when(F.col("idx") == 0, 0.3).otherwise(0.0)
-    return lines(spark, d).select("doc_id", "idx", F.round(F.least(score, F.lit(1.0)), 3).alias("importance"))
+    return bare_lines(spark, d).select("doc_id", "idx", importance_of(F.col("text"), F.col("idx")).alias("importance"))
 
 
 def intensity(spark: SparkSession, d: str) -> DataFrame:
     """Bands by importance, raised by cues, on ordinals."""
+    rows = lines(spark, d).withColumn("importance", importance_of(F.col("text"), F.col("idx")))
     level = F.when(F.col("importance") >= 0.8, 3).when(F.col("importance") >= 0.5, 2).when(F.col("importance") >= 0.3, 1).otherwise(0)
-    rows = importance(spark, d).join(lines(spark, d).select("doc_id", "idx", "text", "start"), ["doc_id", "idx"])
     raised = F.greatest(level, F.when(F.col("text").contains("!"), 2).otherwise(0), F.when(F.col("start") < 200, 1).otherwise(0))
     return rows.select("doc_id", "idx", F.get(F.array(*map(F.lit, ("quiet", "normal", "strong", "impact"))), raised).alias("intensity"))
 

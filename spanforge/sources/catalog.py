@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +22,46 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.col("event_type").alias("kind"), start.alias("start"), (start + F.bround(F.col("value") * 60).cast("long") * 1_000_000).alias("stop"), "value")
 
 
+#: Lines of one block of running lengths.
+_BLOCK = 256
+
+
+def placed_lines(text: Column) -> Column:
+    """Array of ``text, start, stop``: the lines of a text and their running lengths, inside the row.
+
+    Lengths are summed by blocks of lines, then inside a block, so that a text of n lines takes
+    n * (_BLOCK + n / _BLOCK^2) steps and nothing is shuffled. A lambda's variable is computed
+    once; columns named inside a lambda would be computed for every element.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = F.struct(F.split(text, "\n").alias("t"))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def sized(w: Column) -> Column:
+        return F.struct(w["t"].alias("t"), F.transform(w["t"], lambda x: F.length(x)).alias("n"))
+
+    def summed(w: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(w["n"]) - 1) / _BLOCK).cast("int")), lambda k: total(F.slice(w["n"], k * _BLOCK + 1, _BLOCK)))
+        return F.struct(w["t"].alias("t"), w["n"].alias("n"), blocks.alias("sums"))
+
+    def based(w: Column) -> Column:
+        bases = F.transform(w["sums"], lambda x, k: total(F.slice(w["sums"], F.lit(1), k)))
+        return F.struct(w["t"].alias("t"), w["n"].alias("n"), bases.alias("base"))
+
+    def line(w: Column, x: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        start = F.get(w["base"], block) + total(F.slice(w["n"], block * _BLOCK + 1, i % _BLOCK))
+        return F.struct(x.alias("text"), start.alias("start"), (start + F.get(w["n"], i)).alias("stop"))
+
+    return once(once(once(once(whole, sized), summed), based), lambda w: F.transform(w["t"], lambda x, i: line(w, x, i)))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, idx, text, start, stop``: lines of documents as phrases; a character lasts 1 ms."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-    stop = F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    return d.select("doc_id", "idx", "text", (stop - F.length("text")).alias("start"), stop.alias("stop"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(placed_lines(F.col("text"))).alias("idx", "l"))
+    return rows.select("doc_id", "idx", "l.text", "l.start", "l.stop")
+
+
+def bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, idx, text``: the lines alone, for what needs no times."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
