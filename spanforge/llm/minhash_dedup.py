@@ -56,6 +56,8 @@ COORDINATES = 64
 MISS = 1e-6
 #: Bytes of the sets of one block, about.
 BLOCK_BYTES = 8 << 20
+#: Sets of one block, at most about: the pairs of two blocks are what a task may have to look at.
+BLOCK_ROWS = 500
 #: Most ids in a broadcast; beyond, ids are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _WORDS = re.compile(WORD).findall
@@ -282,7 +284,7 @@ def _other_links(held: DataFrame, part: DataFrame, link: int) -> DataFrame:
     celled = published(rows.withColumn("cell", _cell(F.col("n"), link)).drop("main"), "dedup-split")
     if celled.isEmpty():
         return celled.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    weight = lambda rest: F.ceil(F.sum(F.when(F.col("rest") == rest, F.col("n") * 8 + 4 * COORDINATES + 64).otherwise(0)) / BLOCK_BYTES).cast("int")
+    weight = lambda rest: F.ceil(F.sum(F.when(F.col("rest") == rest, F.greatest(F.col("n") * 8 + 4 * COORDINATES + 64, F.lit(BLOCK_BYTES // BLOCK_ROWS))).otherwise(0)) / BLOCK_BYTES).cast("int")
     blocks = celled.groupBy("family", "cell").agg(weight(1).alias("few"), weight(0).alias("many"))
     blocks = published(blocks, "dedup-blocks")
     above = blocks.select("family", (F.col("cell") - 1).alias("cell"), F.col("few").alias("few_up"), F.col("many").alias("many_up"))
