@@ -8,6 +8,7 @@ deleted when the block ends; a result that a caller reads lazily is written with
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch handed to Python, about: rows are counted by bytes, whatever their number.
+ARROW_BYTES = 2 << 20
 #: A word of the text contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = "[\\x20\\x09-\\x0D]+"
@@ -41,6 +44,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: a worker holds one batch, or one text where that is longer.
+
+    Lazy results are planned when they are read, so the bound stays set for the session. It
+    changes no result, and a lower bound of the user's is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)([bkmgt]?)b?", str(spark.conf.get(key)).strip().lower())
+    size = int(found[1]) << 10 * "bkmgt".index(found[2] or "b") if found else 0
+    if not 0 < size <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors; one of our own only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

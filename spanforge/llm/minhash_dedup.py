@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, ascii_lower, cleared, published
+from spanforge.llm.common import WORD, arrow_batches, ascii_lower, cleared, published
 from spanforge.llm.components import components
 
 SHINGLE = 5
@@ -115,6 +115,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, tkey, n_shingles, fp, sig`` of every row; tkey is a digest of the text, fp is null for an empty set."""
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import WORD, cleared, published
+from spanforge.llm.common import WORD, arrow_batches, cleared, published
 
 #: Documents that the language's and the corpus's sketch each count for in a group's mixture.
 PRIOR = 200
@@ -105,6 +105,7 @@ def measure(text: str | None) -> list[int]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source`` and the measures of every whole text."""
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
