@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import integrity, retrieval, spans, stateful, text
+from spanforge.plans import integrity, retrieval, spans, stateful, text, wording
 
-PLANS = (spans, text, retrieval, integrity, stateful)
+PLANS = (spans, text, retrieval, integrity, stateful, wording)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
