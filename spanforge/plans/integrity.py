@@ -40,12 +40,7 @@ def chain_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    given = table(spark, d, "labels").select((F.col("doc_id") + 3).alias("doc_id"))
-    return integrity.coverage(table(spark, d, "documents").where("doc_id % 2 = 0"), given, "doc_id")
-
-
-def coverage_all_documents(spark: SparkSession, d: str) -> DataFrame:
-    """As coverage_full_outer, whose statement takes even ids only, but with every document required."""
+    """Every document is required; what is given are the labels, three ids on."""
     given = table(spark, d, "labels").select((F.col("doc_id") + 3).alias("doc_id"))
     return integrity.coverage(table(spark, d, "documents"), given, "doc_id")
 
@@ -113,16 +108,10 @@ def treatment_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words_over_cue(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a conversation's turn spread over 1 000 ms by their length."""
-    turns = table(spark, d, "conversations").where("turn = 0")
-    return alloc.words_over_cue(turns, "conv_id", F.col("text"), 1_000).groupBy("conv_id").agg(F.count("*").alias("n_words"), F.max("stop").alias("stop"), F.sum("start").alias("starts"))
-
-
-def words_over_every_cue(spark: SparkSession, d: str) -> DataFrame:
-    """As words_over_cue, whose statement takes first turns only, but over each turn of a conversation."""
+    """The words of every turn spread over 1 000 ms by their length."""
     turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("cue"), "text")
-    spread = alloc.words_over_cue(turns, "cue", F.col("text"), 1_000).groupBy("cue").agg(F.count("*").alias("n_words"), F.max("stop").alias("stop"), F.sum("start").alias("starts"))
-    return spread.select("cue.conv_id", "cue.turn", "n_words", "stop", "starts")
+    spread = alloc.words_over_cue(turns, "cue", F.col("text"), 1_000)
+    return spread.select("cue.conv_id", "cue.turn", "pos", "start", "stop")
 
 
 def scene_binning(spark: SparkSession, d: str) -> DataFrame:
@@ -134,8 +123,8 @@ def scene_binning(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        preflight_issues, chain_issues, coverage_full_outer, coverage_all_documents, disjoint_cover, patch_apply, content_digest, page_digest, lock_violations, duplicate_groups, set_equality, json_contract,
-        allocate_timeline, running_offsets, treatment_split, words_over_cue, words_over_every_cue, scene_binning,
+        preflight_issues, chain_issues, coverage_full_outer, disjoint_cover, patch_apply, content_digest, page_digest, lock_violations, duplicate_groups, set_equality, json_contract,
+        allocate_timeline, running_offsets, treatment_split, words_over_cue, scene_binning,
     )
 }
 
@@ -150,9 +139,7 @@ union all select o_custkey, 'order without solvent customer' from orders where o
 union all select l_orderkey, 'item without settled order' from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')
 union all select l_suppkey, 'item without solvent supplier' from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal > 0))
 select issue, count(*) as n, count(distinct key) as keys from i group by 1""",
-    "coverage_full_outer": """with r as (select distinct doc_id as rk from documents where doc_id % 2 = 0), g as (select distinct doc_id + 3 as gk from labels)
-select coalesce(rk, gk) as doc_id, case when gk is null then 'missing' else 'unknown' end as state from r full join g on rk = gk where rk is null or gk is null""",
-    "coverage_all_documents": """with r as (select distinct doc_id as rk from documents), g as (select distinct doc_id + 3 as gk from labels)
+    "coverage_full_outer": """with r as (select distinct doc_id as rk from documents), g as (select distinct doc_id + 3 as gk from labels)
 select coalesce(rk, gk) as doc_id, case when gk is null then 'missing' else 'unknown' end as state from r full join g on rk = gk where rk is null or gk is null""",
     "disjoint_cover": "select l_partkey, count(distinct l_suppkey) as parts from lineitem group by 1 having count(distinct l_suppkey) > 1",
     "patch_apply": "select c_custkey, c_name, case when c_custkey % 7 = 0 then 'PATCHED' else c_mktsegment end as c_mktsegment from customer",
@@ -169,10 +156,9 @@ select l_orderkey, l_linenumber, (upto - weight) * 60000 // total as start, upto
     "treatment_split": """with w as (select l_orderkey, l_linenumber, round_even(l_quantity * 100, 0)::bigint as length, case l_returnflag when 'A' then [50, 30, 20] when 'R' then [60, 40] else [100] end as s from lineitem),
 e as (select *, unnest(s) as share, generate_subscripts(s, 1) - 1 as state from w), r as (select *, list_sum(s[1:state]) as before from e)
 select l_orderkey, l_linenumber, state, (coalesce(before, 0) * length // 100)::bigint as start, (case when state + 1 = len(s) then length else (coalesce(before, 0) + share) * length // 100 end)::bigint as stop from r""",
-    "words_over_cue": f"""with t as (select conv_id, {_W} as w from conversations where turn = 0), e as (select conv_id, generate_subscripts(w, 1) as i, length(unnest(w)) as n from t), r as (select conv_id, n, sum(n) over (partition by conv_id order by i) as upto, sum(n) over (partition by conv_id) as total from e),
-p as (select conv_id, (upto - n) * 1000 // total as start, upto * 1000 // total as stop from r) select conv_id, count(*) as n_words, max(stop)::bigint as stop, sum(start)::bigint as starts from p group by 1""",
-    "words_over_every_cue": f"""with t as (select conv_id, turn, {_W} as w from conversations), e as (select conv_id, turn, generate_subscripts(w, 1) as i, length(unnest(w)) as n from t), r as (select conv_id, turn, n, sum(n) over (partition by conv_id, turn order by i) as upto, sum(n) over (partition by conv_id, turn) as total from e),
-p as (select conv_id, turn, (upto - n) * 1000 // total as start, upto * 1000 // total as stop from r) select conv_id, turn, count(*) as n_words, max(stop)::bigint as stop, sum(start)::bigint as starts from p group by 1, 2""",
+    "words_over_cue": f"""with t as (select conv_id, turn, {_W} as w from conversations), e as (select conv_id, turn, generate_subscripts(w, 1) as i, length(unnest(w)) as n from t),
+r as (select *, sum(n) over (partition by conv_id, turn order by i) as upto, sum(n) over (partition by conv_id, turn) as total from e)
+select conv_id, turn, (i - 1)::int as pos, ((upto - n) * 1000 // total)::bigint as start, (upto * 1000 // total)::bigint as stop from r""",
     "scene_binning": """with recursive t as (select conv_id, turn, length(text) as length, row_number() over (partition by conv_id order by turn) as k from conversations),
 f as (select conv_id, turn, k, length as filled, 0 as bin from t where k = 1 union all
 select t.conv_id, t.turn, t.k, case when f.filled + t.length > 400 then t.length else f.filled + t.length end, case when f.filled + t.length > 400 then f.bin + 1 else f.bin end from f join t on t.conv_id = f.conv_id and t.k = f.k + 1)
