@@ -55,7 +55,7 @@ def outside(tokens: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
 
 def connector(text: Column) -> Column:
     """The first connector, in their order, of which the text has a cue."""
-    own = F.transform(T.words(text), bare)
+    own = F.transform(T.words(text), lambda w: bare(w))
     return F.coalesce(*(F.when(has_cue(own, cues), F.lit(name)) for name, cues in CONNECTORS))
 
 
@@ -68,19 +68,22 @@ def can_stand_alone(span: Column, category: Column) -> Column:
 
 def emphasis(text: Column) -> Column:
     """``span, category``: a year; a figure and up to three words behind it; what follows a contrast; three content words."""
-    own = T.words(text)
-    low = F.transform(own, bare)
-    year = F.get(F.filter(low, lambda w: w.rlike("^(1[0-9]|20)[0-9]{2}$")), F.lit(0))
-    from_ = lambda test, skip, most: F.array_join(F.slice(own, F.array_position(F.transform(low, test), True).cast("int") + skip, most), " ")
-    figure = lambda w: w.rlike("^[0-9]+$")
-    turn = lambda w: w.isin(*CONTRASTS)
-    behind = from_(turn, 1, 4)
-    key = F.array_join(F.slice(F.filter(low, lambda w: (F.length(w) >= 4) & ~w.isin(*T.STOPWORDS)), 1, 3), " ")
     pick = lambda span, category: F.struct(F.upper(F.replace(span, F.lit("ß"), F.lit("ss"))).alias("span"), F.lit(category).alias("category"))
-    return (
-        F.when(year.isNotNull(), pick(year, "date")).when(F.exists(low, figure), pick(from_(figure, 0, 4), "number"))
-        .when(F.exists(low, turn) & (behind != ""), pick(behind, "emphasis")).when(key != "", pick(key, "keyword"))
-    )
+
+    def chosen(line: Column) -> Column:
+        own, low = line["own"], line["low"]
+        year = F.get(F.filter(low, lambda w: w.rlike("^(1[0-9]|20)[0-9]{2}$")), F.lit(0))
+        place = lambda test: F.array_position(F.transform(low, test), True).cast("int")
+        figure, turn = place(lambda w: w.rlike("^[0-9]+$")), place(lambda w: w.isin(*CONTRASTS))
+        behind = F.array_join(F.slice(own, turn + 1, F.lit(4)), " ")
+        key = F.array_join(F.slice(F.filter(low, lambda w: (F.length(w) >= 4) & ~w.isin(*T.STOPWORDS)), 1, 3), " ")
+        return (
+            F.when(year.isNotNull(), pick(year, "date")).when(figure > 0, pick(F.array_join(F.slice(own, figure, F.lit(4)), " "), "number"))
+            .when((turn > 0) & (behind != ""), pick(behind, "emphasis")).when(key != "", pick(key, "keyword"))
+        )
+
+    both = lambda line: F.struct(line["own"].alias("own"), F.transform(line["own"], lambda w: bare(w)).alias("low"))
+    return T.once(T.once(F.struct(T.words(text).alias("own")), both), chosen)
 
 
 def word_score(word: Column, place: Column, total: Column, themes: Column) -> Column:

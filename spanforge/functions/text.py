@@ -5,6 +5,8 @@ Everything stays inside the engine's code generation or its higher-order functio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ FILLERS = "well like so in of to it is".split()
 FILLER_PAIRS = ("of the", "it is", "in the")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: an expression named inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_a(text: Column) -> Column:
     """Lower case without accents, sharp s as ss, trimmed."""
     return F.trim(F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss")))

@@ -17,14 +17,14 @@ MINUTE = 60_000_000
 
 def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
     rows = bare_lines(spark, d).select("doc_id", "idx", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
-    return sequential.grouped(rows, "doc_id", ["idx"], sequential.repetition, "doc_id long, idx long, suggestion string, similarity double")
+    return sequential.streamed(rows, "doc_id", ["idx"], sequential.repetition, "doc_id long, idx long, suggestion string, similarity double")
 
 
 def tangent_runs(spark: SparkSession, d: str) -> DataFrame:
     overlap = text_plan.subject_overlap(spark, d).select("doc_id", "idx", "overlap")
     marked = F.col("text").rlike("(?i)^(by|for|that|pour|para|nicht)\\b")
     rows = bare_lines(spark, d).select("doc_id", "idx", marked.alias("marked")).join(overlap, ["doc_id", "idx"], "left").na.fill(0.0, ["overlap"])
-    return sequential.grouped(rows, "doc_id", ["idx"], sequential.tangents, "doc_id long, first_idx long, last_idx long, n_rows long")
+    return sequential.streamed(rows, "doc_id", ["idx"], sequential.tangents, "doc_id long, first_idx long, last_idx long, n_rows long")
 
 
 def review_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
 def greedy_gap_select(spark: SparkSession, d: str) -> DataFrame:
     rows = spans(spark, d).select("user_id", "event_id", (F.col("start") / 1_000_000).alias("start"), F.round(F.col("value") / 500, 3).alias("importance"))
     step = lambda x: sequential.gap_select(x, 86_400.0, 15)
-    return sequential.grouped(rows, "user_id", ["start", "event_id"], step, "user_id long, event_id long, start double, importance double")
+    return sequential.streamed(rows, "user_id", [F.desc("importance"), "start", "event_id"], step, "user_id long, event_id long, start double, importance double")
 
 
 def greedy_anchor_match(spark: SparkSession, d: str) -> DataFrame:
@@ -68,31 +68,31 @@ def greedy_anchor_match(spark: SparkSession, d: str) -> DataFrame:
     points = all_.where("kind = 'click'").select("user_id", "event_id", F.col("start").alias("at"))
     anchors = all_.where("kind = 'purchase'").select(F.col("user_id").alias("a_user"), F.col("event_id").alias("anchor_id"), F.col("start").alias("anchor_at"))
     pairs = intervals.band(points, anchors, 720 * MINUTE).where("user_id = a_user").select("user_id", "event_id", "anchor_id", F.abs(F.col("at") - F.col("anchor_at")).alias("distance"))
-    return sequential.grouped(pairs, "user_id", ["distance"], sequential.match_anchors, "user_id long, event_id long, anchor_id long, distance long")
+    return sequential.streamed(pairs, "user_id", ["distance", "event_id", "anchor_id"], sequential.match_anchors, "user_id long, event_id long, anchor_id long, distance long")
 
 
 def word_alignment(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return sequential.grouped(turns, "conv_id", ["turn"], sequential.align_words, "conv_id long, turn long, matched long, n_words long")
+    return sequential.streamed(turns, "conv_id", ["turn"], sequential.align_words, "conv_id long, turn long, matched long, n_words long")
 
 
 def direction_plan(spark: SparkSession, d: str) -> DataFrame:
     weights = {"wide": 3.0, "medium": 4.0, "close": 2.0, "detail": 1.0}
     step = lambda x: sequential.direct(x, weights, "direction")
-    return sequential.grouped(spans(spark, d).select("user_id", "event_id", "start", "value"), "user_id", ["start", "event_id"], step, "user_id long, event_id long, composition string")
+    return sequential.streamed(spans(spark, d).select("user_id", "event_id", "start", "value"), "user_id", ["start", "event_id"], step, "user_id long, event_id long, composition string")
 
 
 def treatment_plan(spark: SparkSession, d: str) -> DataFrame:
     weights = {"hold": 3.0, "push": 2.0, "cut": 2.0, "split": 1.0}
     step = lambda x: sequential.treat(x, weights, "treatment")
-    return sequential.grouped(spans(spark, d).select("user_id", "event_id", "start", "value"), "user_id", ["start", "event_id"], step, "user_id long, event_id long, treatment string")
+    return sequential.streamed(spans(spark, d).select("user_id", "event_id", "start", "value"), "user_id", ["start", "event_id"], step, "user_id long, event_id long, treatment string")
 
 
 def resolve_stateful(spark: SparkSession, d: str) -> DataFrame:
     """Requests of a plan in order; what was chosen before lowers the score of what comes."""
     scored = rank.ranked(retrieval._scored(spark, d).where(F.size("reasons") == 0), rank.LIMIT)
     rows = scored.select(F.floor(F.col("req") / 20).alias("plan"), "req", "cand", "score", "family")
-    return sequential.grouped(rows, "plan", ["req", "rank"] if "rank" in rows.columns else ["req", "cand"], sequential.resolve, "plan long, req long, cand long, score double")
+    return sequential.streamed(rows, "plan", ["req", "cand"], sequential.resolve, "plan long, req long, cand long, score double")
 
 
 QUERIES = {
@@ -115,3 +115,9 @@ ORACLES = {
 select doc_id, count(*) filter (suggestion = 'CUT') as n_cut, count(*) filter (suggestion = 'REVIEW') as n_review, count(*) filter (suggestion is null) as n_keep,
   (max(stop) - sum(case suggestion when 'CUT' then 2 * (stop - start) when 'REVIEW' then stop - start else 0 end)::bigint // 2)::bigint as estimate from j group by 1""",
 }
+ORACLES["tangent_runs"] = f"""with recursive {text_plan._SUBJ}, tr as (select l.doc_id, l.idx, regexp_matches(text, '(?i)^(by|for|that|pour|para|nicht)($|[^0-9A-Za-z_À-ÿ])') as marked, coalesce(round(hits / terms, 6), 0) as overlap
+  from l left join so on so.doc_id = l.doc_id and so.idx = l.idx),
+ru(doc_id, idx, first_idx, n) as (select doc_id, idx, case when marked then idx end, case when marked then 1 else 0 end from tr where idx = 0 union all
+  select tr.doc_id, tr.idx, case when ru.n between 1 and 10 and overlap < 0.3 then ru.first_idx when marked then tr.idx end, case when ru.n between 1 and 10 and overlap < 0.3 then ru.n + 1 when marked then 1 else 0 end
+  from ru join tr on tr.doc_id = ru.doc_id and tr.idx = ru.idx + 1)
+select doc_id, first_idx, max(idx) as last_idx, max(n) as n_rows from ru where n > 0 group by doc_id, first_idx"""

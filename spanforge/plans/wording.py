@@ -287,7 +287,7 @@ def standalone_spans(spark: SparkSession, d: str) -> DataFrame:
 _ENDS = lambda items: "(" + " or ".join(f"b like '%{x}'" for x in items) + ")"
 
 
-@query(f"""with {LINES}, w as (select doc_id, idx, {words('text')} as w, list_filter({content('text')}, lambda x, i: list_position({content('text')}, x) = i)[1:2] as themes from l), k as (select doc_id, idx, themes, len(w) as total, generate_subscripts(w, 1) - 1 as place, unnest(w) as word from w),
+@query(f"""with {LINES}, c as (select doc_id, idx, {words('text')} as w, {content('text')} as c from l), w as (select doc_id, idx, w, list_filter(c, lambda x, i: list_position(c, x) = i)[1:2] as themes from c), k as (select doc_id, idx, themes, len(w) as total, generate_subscripts(w, 1) - 1 as place, unnest(w) as word from w),
 b as (select *, {fold_b("regexp_replace(word, '^[^0-9A-Za-zÀ-ÿ]+|[^0-9A-Za-zÀ-ÿ]+$', '', 'g')")} as b from k),
 s as (select *, case when length(b) < 4 or list_contains({listed(T.STOPWORDS)}, b) or not regexp_matches(b, '[a-z]') then -100 else 16 * length(b) + case when list_contains(themes, b) then 220 else 0 end + case when {_ENDS(beats.NOUN_ENDS)} then 170 else 0 end
   - case when {_ENDS(beats.VERB_ENDS)} then 140 else 0 end + case when total > 1 then 120 * place // (total - 1) else 0 end end as score from b)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import integrity, narration, records, retrieval, screens, shots, spans, stateful, text, wording
+from spanforge.plans import integrity, narration, reading, records, retrieval, screens, shots, spans, stateful, text, wording
 
-PLANS = (spans, text, retrieval, integrity, stateful, wording, shots, narration, records, screens)
+PLANS = (spans, text, retrieval, integrity, stateful, wording, shots, narration, records, screens, reading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -111,13 +111,13 @@ def test_sequence_steps():
     counts = pd.Series([sequential.draw(f"s{k}", [("a", 1.0), ("b", 3.0)]) for k in range(2000)]).value_counts(normalize=True)
     assert abs(counts["b"] - 0.75) < 0.04
     assert sequential.run_allowed(["a", "b"], "b", 2) and not sequential.run_allowed(["b", "b"], "b", 2)
-    rows = pd.DataFrame({"user_id": [1] * 40, "event_id": range(40), "start": range(40), "value": [100.0] * 40})
-    plan = sequential.treat(rows, {"hold": 1.0, "cut": 3.0, "push": 3.0}, "t")["treatment"].tolist()
-    assert all("hold" in plan[i : i + 7] for i in range(len(plan) - 7))
-    picked = sequential.gap_select(pd.DataFrame({"start": [0.0, 1.0, 5.0, 9.0], "importance": [0.1, 0.9, 0.8, 0.8]}), 3.0, 2)
-    assert picked["start"].tolist() == [1.0, 5.0]
-    twice = pd.DataFrame({"doc_id": [1, 1], "idx": [0, 1], "tokens": ["a b c d", "a b c d"]})
-    assert sequential.repetition(twice).values.tolist() == [[1, 0, "CUT", 1.0]]
+    rows = ({"user_id": 1, "event_id": k, "start": k, "value": 100.0} for k in range(40))
+    plan = [x for *_, x in sequential.treat(rows, {"hold": 1.0, "cut": 3.0, "push": 3.0}, "t")]
+    assert len(plan) == 40 and all("hold" in plan[i : i + 7] for i in range(len(plan) - 7))
+    picked = sequential.gap_select(iter([{"start": s, "importance": i} for i, s in ((0.9, 1.0), (0.8, 5.0), (0.8, 9.0), (0.1, 0.0))]), 3.0, 2)
+    assert [x for x, _ in picked] == [1.0, 5.0]
+    twice = [{"doc_id": 1, "idx": k, "tokens": "a b c d"} for k in range(2)]
+    assert list(sequential.repetition(iter(twice))) == [(1, 0, "CUT", 1.0)]
 
 
 def test_subtitles(spark):
@@ -184,11 +184,21 @@ def test_publish_never_overwrites(spark, tmp_path):
 
 
 def test_streaming_sessions(spark, tmp_path):
+    """Sessions close by the next row or by the watermark; late rows and closed state are gone."""
+    from datetime import datetime, timedelta, timezone
+
     from spanforge.streaming.sessions import sessions
 
-    spark.createDataFrame([(1, 0.0, 5.0), (1, 7.0, 9.0), (1, 100.0, 101.0)], "user_id long, start double, stop double").write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("user_id long, start double, stop double").json(str(tmp_path / "in"))
-    query = sessions(stream, 10).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    schema = "user_id long, ts timestamp, seconds double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = sessions(stream, 10, "20 seconds").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+    parts = ([(1, 0, 5.0), (1, 7, 2.0), (1, 40, 1.0)], [(2, 100, 1.0)], [(3, 300, 1.0), (1, 41, 1.0)], [(4, 900, 1.0)])
+    query = found.start()
+    for rows in parts:
+        spark.createDataFrame([(u, at(s), n) for u, s, n in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
     query.stop()
-    assert [tuple(r) for r in spark.sql("select * from closed").collect()] == [(1, 0.0, 9.0, 2)]
+    got = sorted((r.user_id, r.stop - r.start, r.n) for r in spark.sql("select * from closed").collect())
+    assert got == [(1, 1.0, 1), (1, 9.0, 2), (2, 1.0, 1), (3, 1.0, 1)]
