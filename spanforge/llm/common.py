@@ -44,6 +44,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``: no name of theirs can clash with one of ours."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes: a worker holds one batch, or one text where that is longer.
 

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD_JAVA, cleared, published
+from spanforge.llm.common import WORD_JAVA, cleared, packed, published, unpacked
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -149,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with every column."""
     with cleared(docs.sparkSession):
-        keys = published(contaminated(docs, benchmark).select(F.col("doc_id").alias("__lk_id"), F.col("row_key").alias("__lk_key")).distinct(), "leaks", keep=True)
+        keys = published(contaminated(docs, benchmark).select("doc_id", "row_key").distinct(), "leaks", keep=True)
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lk_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__lk_key"))
-    return docs.join(F.broadcast(keys) if few else keys, same, "left_anti")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("row_key"))
+    return unpacked(packed(docs).join(F.broadcast(keys) if few else keys, same, "left_anti"), docs.columns)

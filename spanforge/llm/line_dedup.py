@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cleared, published
+from spanforge.llm.common import cleared, packed, published
 
 RATIO = 0.01
 MIN_PAGES = 5
@@ -63,30 +63,31 @@ def boilerplate(docs: DataFrame, host: str, text: str) -> DataFrame:
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", report: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines; with ``report``, also n_lines and n_dropped."""
-    lists = boilerplate(docs, host, text).select(F.col("host").alias("__ld_host"), F.col("bad").alias("__ld_bad"), F.col("keys").alias("__ld_keys"))
-    columns = docs.columns
-    same = F.col("__ld_of").eqNullSafe(F.col("__ld_host"))
-    rows = docs.withColumn("__ld_of", F.col(host).cast("string"))
-    if (lists.agg(F.sum(F.size("__ld_bad"))).first()[0] or 0) <= BROADCAST_LINES:
-        joined = rows.join(F.broadcast(lists), same, "left")
+    lists = boilerplate(docs, host, text)
+    old = F.col("row").getField(text)
+    rows = packed(docs).withColumn("of", F.col("row").getField(host).cast("string"))
+    same = F.col("of").eqNullSafe(F.col("host"))
+    if (lists.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
+        joined = rows.join(F.broadcast(lists.select("host", "bad")), same, "left")
     else:
         # Hosts with more than one key are few: rows of the whole table / ROWS_A_KEY at most.
-        large = lists.where("__ld_keys > 1").select(F.col("__ld_host").alias("__ld_large"), F.col("__ld_keys").alias("__ld_of_keys"))
-        dealt = rows.join(F.broadcast(large), F.col("__ld_of").eqNullSafe(F.col("__ld_large")), "left")
-        dealt = dealt.withColumn("__ld_of_key", F.pmod(F.xxhash64(text), F.coalesce("__ld_of_keys", F.lit(1))).cast("int"))
-        spread = lists.withColumn("__ld_key", F.explode(F.sequence(F.lit(0), F.col("__ld_keys") - 1)))
-        joined = dealt.join(spread, same & (F.col("__ld_of_key") == F.col("__ld_key")), "left")
-    listed = lambda x: F.coalesce(F.array_contains(F.col("__ld_bad"), F.xxhash64(_bare(x))), F.lit(False))
+        large = lists.where("keys > 1").select(F.col("host").alias("large"), F.col("keys").alias("of_keys"))
+        dealt = rows.join(F.broadcast(large), F.col("of").eqNullSafe(F.col("large")), "left")
+        dealt = dealt.withColumn("of_key", F.pmod(F.xxhash64(old), F.coalesce("of_keys", F.lit(1))).cast("int"))
+        spread = lists.withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)))
+        joined = dealt.join(spread, same & (F.col("of_key") == F.col("key")), "left")
+    listed = lambda x: F.coalesce(F.array_contains(F.col("bad"), F.xxhash64(_bare(x))), F.lit(False))
     # One pass marks the lines; the rest reads the marks.
-    marks = F.transform(_lines(F.col(text).cast("string")), lambda x: F.struct(x.alias("s"), (F.col("__ld_bad").isNotNull() & listed(x)).alias("b"), (F.length(_bare(x)) > 0).alias("f")))
-    marked = joined.withColumn("__ld_lines", marks)
-    kept = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x["b"]), lambda x: x["s"]), "\n")
-    out = marked.withColumn("__ld_text", F.when(F.col("__ld_bad").isNull() | F.col("__ld_lines").isNull(), F.col(text)).otherwise(kept))
-    found = [F.col("__ld_text").alias(text) if c == text else F.col(c) for c in columns]
-    if "n_chars" in columns:
-        changed = F.col("n_chars").isNotNull() & (F.col("__ld_text") != F.col(text))
-        found[columns.index("n_chars")] = F.when(changed, F.length("__ld_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    marks = F.transform(_lines(old.cast("string")), lambda x: F.struct(x.alias("s"), (F.col("bad").isNotNull() & listed(x)).alias("b"), (F.length(_bare(x)) > 0).alias("f")))
+    marked = joined.withColumn("lines", marks)
+    kept = F.array_join(F.transform(F.filter("lines", lambda x: ~x["b"]), lambda x: x["s"]), "\n")
+    out = marked.withColumn("new", F.when(F.col("bad").isNull() | F.col("lines").isNull(), old).otherwise(kept))
+    found = [F.col("new").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        n = F.col("row").getField("n_chars")
+        changed = n.isNotNull() & (F.col("new") != old)
+        found[docs.columns.index("n_chars")] = F.when(changed, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(n).alias("n_chars")
     if report:
-        count = lambda key: F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x[key]))).cast("long")
+        count = lambda key: F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x[key]))).cast("long")
         found += [count("f").alias("n_lines"), count("b").alias("n_dropped")]
     return out.select(*found)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, arrow_batches, ascii_lower, cleared, published
+from spanforge.llm.common import WORD, arrow_batches, ascii_lower, cleared, packed, published, unpacked
 from spanforge.llm.components import components
 
 SHINGLE = 5
@@ -380,14 +380,14 @@ def without_copies(docs: DataFrame, link: int = LINK) -> DataFrame:
         named = _named(rows.where("doc_id is not null and fp is not null").select("doc_id", "tkey", "fp"), labels, rows.count())
         stays = (F.col("doc_id") == F.col("rep_id")) & (F.col("tkey") == F.col("rep_key"))
         # a row that stays and is there several times over counts as its own copy
-        keys = named.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"), F.first(stays).alias("stays")).where("not stays or n > 1")
-        keys = published(keys.select(F.col("doc_id").alias("__nd_id"), F.col("tkey").alias("__nd_key"), F.col("stays").alias("__nd_stays")), "dedup-gone", keep=True)
-    same = (F.col("doc_id").cast("long") == F.col("__nd_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__nd_key"))
-    left = docs.join(_small(keys), same, "left_anti")
-    again = keys.where("__nd_stays")
-    if again.isEmpty():
-        return left
-    # Equal texts under one id: the row whose other columns come first as text stays.
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    first = docs.join(_small(again), same, "inner").groupBy("__nd_id", "__nd_key").agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return left.unionByName(first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+        keys = named.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"), F.first(stays).alias("stays")).where("not stays or n > 1").select("doc_id", "tkey", "stays")
+        keys = published(keys, "dedup-gone", keep=True)
+    rows = packed(docs)
+    same = (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("tkey"))
+    left = rows.join(_small(keys), same, "left_anti")
+    again = keys.where("stays")
+    if not again.isEmpty():
+        # Equal texts under one id: the row whose other columns come first as text stays.
+        copies = rows.join(_small(again), same, "inner").groupBy("doc_id", "tkey")
+        left = left.unionByName(copies.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return unpacked(left, docs.columns)
