@@ -57,6 +57,8 @@ RANGE_ROWS = 2000
 RANGES = 20_000
 #: Pieces of one generation of a worker's memory; there are two.
 CACHE_PIECES = 600_000
+#: Unknown pieces that are encoded as one text.
+LINE_PIECES = 12
 #: Characters of one group of texts encoded together.
 GROUP_CHARS = 8 << 20
 _TAIL = r'(\p{L})([.,;:!?|%$&#*()"]+)( |$)'
@@ -79,19 +81,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, symbols: np.ndarray) -> WaveletMatrix:
-        symbols = np.asarray(symbols, np.uint32)
+        symbols = np.asarray(symbols)
         n = len(symbols)
         levels = max(1, int(symbols.max()).bit_length()) if n else 1
         rest = symbols.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, packed = [], []
         for shift in range(levels - 1, -1, -1):
-            bit = (rest & rest.dtype.type(1 << shift)).astype(bool)
+            bit = (rest & rest.dtype.type(1 << shift)) != 0
             packed.append(np.packbits(bit))
-            ones = rest[bit]
-            np.compress(~bit, rest, out=(below := np.empty_like(rest))[: n - len(ones)])
-            below[n - len(ones) :] = ones
-            zeros.append(n - len(ones))
-            rest = below
+            off = np.flatnonzero(~bit)
+            zeros.append(len(off))
+            rest = np.concatenate([rest[off], rest[np.flatnonzero(bit)]])
         blocks = -(-n // _BLOCK)
         held = np.zeros((levels, blocks + 1), "<u4")
         for level, plane in enumerate(packed):
@@ -120,12 +120,12 @@ class WaveletMatrix:
         values = np.zeros(self.n, kind)
         for shift, level in enumerate(range(len(self.zeros) - 1, -1, -1)):
             raw = b"".join(self._chunk(level, k) for k in range(self.chunks))
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             zeros = self.zeros[level]
             values[zeros:] |= kind(1 << shift)
             above = np.empty_like(values)
-            np.place(above, bit, values[zeros:]) if zeros < self.n else None
-            np.place(above, ~bit, values[:zeros]) if zeros else None
+            above[np.flatnonzero(bit)] = values[zeros:]
+            above[np.flatnonzero(~bit)] = values[:zeros]
             values = above
         return values.astype(np.uint32)
 
@@ -280,6 +280,26 @@ class PieceEncoder:
         self.odd = "|".join([_ODD, *(re.escape(x.content) for x in added)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Ids travel as 16 bits where all fit.
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), *self.tokenizer.get_added_tokens_decoder(), 0) <= 1 << 16 else "<u4"
+        line = self._whole(["\n"])[0]
+        #: The id of a line feed: parts pieces that are encoded together.
+        self.feed = line[0] if len(line) == 1 else None
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces without line feeds, ``LINE_PIECES`` as lines of one text: a text costs more than a piece.
+
+        A line feed between non-empty pieces is always a match of its own, with an id that no
+        other match has, so it parts the ids again; a count that differs sends all to the library alone.
+        """
+        if self.feed is not None:
+            texts = ["\n".join(pieces[k : k + LINE_PIECES]) for k in range(0, len(pieces), LINE_PIECES)]
+            ids = np.array([i for x in self._whole(texts) for i in (*x, self.feed)], "<u4")
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(pieces):
+                raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+                return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+        return [array_of_u32("I", x).tobytes() for x in self._whole(pieces)]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -348,10 +368,19 @@ class PieceEncoder:
             else:
                 young[wanted[k]] = found[k] = ids
         for at in range(0, len(unknown), 20_000):
-            part = [wanted[k] for k in unknown[at : at + 20_000]]
-            plain = [x if x == "\n" else x[1:] if x[0] == _FIRST else " " + x for x in part]
-            for k, x, ids in zip(unknown[at : at + 20_000], part, self._whole(plain), strict=True):
-                young[x] = found[k] = array_of_u32("I", ids).tobytes()
+            part = unknown[at : at + 20_000]
+            plain = [x[1:] if x[0] == _FIRST else " " + x for x in map(wanted.__getitem__, part)]
+            single = [k for k, x in zip(part, plain, strict=True) if x == " \n" or not x]
+            if single:  # a line feed, or nothing, can't be a line
+                for k in single:
+                    young[wanted[k]] = found[k] = array_of_u32("I", self._whole(["\n"])[0] if wanted[k] == "\n" else []).tobytes()
+                keep = [(k, x) for k, x in zip(part, plain, strict=True) if x and x != " \n"]
+                part, plain = [k for k, _ in keep], [x for _, x in keep]
+            if part:
+                fresh = self._fresh(plain)
+                young.update(zip(map(wanted.__getitem__, part), fresh, strict=True))
+                for k, ids in zip(part, fresh, strict=True):
+                    found[k] = ids
         return found
 
 
@@ -371,17 +400,18 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     ranges = Ranges.of(source)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, press = encoder(path), zstandard.ZstdCompressor(level=1).compress
+        own = encoder(path)
         for b in batches:
-            raw = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in own.encode(b.column(1).to_pylist())]
-            digest = [zlib.crc32(x) for x in raw]
+            ids = [np.append(x, np.uint32(end_id)) for x in own.encode(b.column(1).to_pylist())]
+            digest = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            raw = [x.astype(own.kind).tobytes() for x in ids]
             bucket = [ranges.number(i, d) for i, d in zip(b.column(0).to_pylist(), digest, strict=True)]
-            yield pa.record_batch([pa.array(bucket, pa.int64()), b.column(0), pa.array(digest, pa.int64()), pa.array(map(press, raw), pa.binary())], ["bucket", "doc_id", "digest", "payload"])
+            yield pa.record_batch([pa.array(bucket, pa.int64()), b.column(0), pa.array(digest, pa.int64()), pa.array(raw, pa.binary())], ["bucket", "doc_id", "digest", "payload"])
 
     dealt = source.mapInArrow(encode, "bucket long, doc_id long, digest long, payload binary").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges.tasks), "bucket")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor().decompress
+        kind = encoder(path).kind
         bucket, part, ids, lengths, symbols, total = None, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -395,7 +425,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
                     part = part + 1 if key == bucket else 0
                     ids, lengths, symbols, total = [], [], [], 0
                 bucket = key
-                own = np.frombuffer(unpress(payload), "<u4")
+                own = np.frombuffer(payload, kind)
                 ids.append(i)
                 lengths.append(len(own))
                 symbols.append(own)
