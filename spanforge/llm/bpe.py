@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import arrow_batches
 
 
-#: Words remembered by a worker; beyond, the memory starts anew (results don't change).
-CACHE_WORDS = 300_000
+#: Words of one generation of a worker's memory; there are two (results don't change).
+CACHE_WORDS = 400_000
 _NONE = 1 << 62
 #: White space for this kind of file: Unicode's, without the four ASCII separators.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -78,6 +78,9 @@ def merged(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[i
     as a call costs more than its work on a short word.
     """
     n = len(symbols)
+    if n == 2:
+        rank = ranks.get(symbols[0] << 20 | symbols[1])
+        return symbols if rank is None else [made[rank]]
     width = 1 << (n - 2).bit_length() if n > 2 else 1
     tree = [_NONE] * (2 * width)
     rank_of = ranks.get
@@ -190,10 +193,13 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.digits = [str(i) for i in range(size)]
-        self.cache: dict[str, list[int]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def word(self, piece: str) -> list[int]:
-        """Ids of one piece without white space, already normalised."""
+        """Ids of one piece without white space, already normalised but for capitals that the interpreter doesn't know."""
+        if not piece.isascii():
+            piece = piece.translate(_LOWER_NEWER)
         out: list[int] = []
         if piece.isascii():
             parts = [piece] if piece.isalpha() else self.pattern.findall(piece)
@@ -213,18 +219,21 @@ class WordBpe:
     def plain(self, text: str) -> list[int]:
         """Ids of a text that holds no special token's string."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LOWER_NEWER)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         pieces = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-        cache, out = self.cache, []
+        young, out = self.young, []
         for piece in pieces:
-            ids = cache.get(piece)
+            ids = young.get(piece)
             if ids is None:
-                ids = self.word(piece)
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = self.word(piece)
                 if len(piece) <= 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[piece] = ids
+                    if len(young) >= CACHE_WORDS:  # what is wanted again comes back from the old generation
+                        self.old, self.young = young, {}
+                        young = self.young
+                    young[piece] = ids
             out += ids
         return out
 
