@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanforge.llm.common import ascii_lower_col, published
+from spanforge.llm.common import ascii_lower_col, cleared, published
 
 #: (verdict, rule): host, then path from the first slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -135,6 +135,11 @@ def model(counts: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, score``; score: the mean log ratio less the cut."""
+    with cleared(pages.sparkSession):
+        return published(_judged(pages, rules), "url-verdicts", keep=True)
+
+
+def _judged(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     # rows alike are judged once and counted, so a hot URL is pre-aggregated

@@ -69,9 +69,34 @@ _ODD = r"[\x01\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 _MAGIC, _VERSION, _BLOCK = b"SFWM", 2, 512
 #: Blocks of one chunk: 8 KB of bits.
 _CHUNK = 128
+#: Symbols of one stretch of a partition.
+_STRETCH = 1 << 15
 _HEAD = struct.Struct("<4sIIQQI")
 
 
+def _parted(values: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Stable partition: values without the bit, then those with it; by stretches that stay in a core's cache."""
+    out, low, high = np.empty_like(values), 0, len(values) - int(np.count_nonzero(bit))
+    for k in range(0, len(values), _STRETCH):
+        own, on = values[k : k + _STRETCH], bit[k : k + _STRETCH]
+        for at, where in ((low, np.flatnonzero(~on)), (high, np.flatnonzero(on))):
+            out[at : at + len(where)] = own.take(where)
+        ones = int(np.count_nonzero(on))
+        low, high = low + len(own) - ones, high + ones
+    return out
+
+
+def _unparted(values: np.ndarray, bit: np.ndarray, zeros: int) -> np.ndarray:
+    """The order before a stable partition."""
+    out, low, high = np.empty_like(values), 0, zeros
+    for k in range(0, len(values), _STRETCH):
+        own, on = out[k : k + _STRETCH], bit[k : k + _STRETCH]
+        ones, off = np.flatnonzero(on), np.flatnonzero(~on)
+        own[ones], own[off] = values[high : high + len(ones)], values[low : low + len(off)]
+        low, high = low + len(off), high + len(ones)
+    return out
+
+
 class WaveletMatrix:
     """Bit planes of a sequence of unsigned 32-bit symbols, packed, with rank directories."""
 
@@ -89,9 +114,8 @@ class WaveletMatrix:
         for shift in range(levels - 1, -1, -1):
             bit = (rest & rest.dtype.type(1 << shift)) != 0
             packed.append(np.packbits(bit))
-            off = np.flatnonzero(~bit)
-            zeros.append(len(off))
-            rest = np.concatenate([rest[off], rest[np.flatnonzero(bit)]])
+            zeros.append(n - int(np.count_nonzero(bit)))
+            rest = _parted(rest, bit)
         blocks = -(-n // _BLOCK)
         held = np.zeros((levels, blocks + 1), "<u4")
         for level, plane in enumerate(packed):
@@ -123,10 +147,7 @@ class WaveletMatrix:
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             zeros = self.zeros[level]
             values[zeros:] |= kind(1 << shift)
-            above = np.empty_like(values)
-            above[np.flatnonzero(bit)] = values[zeros:]
-            above[np.flatnonzero(~bit)] = values[:zeros]
-            values = above
+            values = _unparted(values, bit, zeros)
         return values.astype(np.uint32)
 
     def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
