@@ -33,7 +33,7 @@ from spanforge.llm.common import arrow_batches
 
 
 #: Words of one generation of a worker's memory; there are two (results don't change).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NONE = 1 << 62
 #: White space for this kind of file: Unicode's, without the four ASCII separators.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")

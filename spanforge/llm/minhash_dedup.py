@@ -55,7 +55,7 @@ COORDINATES = 64
 #: Most chance that a pair of similarity ``link`` agrees in fewer than min_matches coordinates.
 MISS = 1e-6
 #: Bytes of the sets of one block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Sets of one block, at most about: the pairs of two blocks are what a task may have to look at.
 BLOCK_ROWS = 500
 #: Most ids in a broadcast; beyond, ids are joined by a shuffle.
@@ -191,6 +191,7 @@ def links_between(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, pa
     matches = min_matches(link)
     sizes = np.array([len(s) for s in sets])
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    local = local.astype(np.int32)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(local.max()) + 1, bool)
     # Posting lists of one side (of all rows, where a block meets itself), one array by token.
