@@ -45,6 +45,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold_a(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def token_lines(text: Column) -> Column:
+    """The text's tokens with blanks between, its line breaks kept: a line of it, split at blanks, is ``tokens`` of that line."""
+    return F.regexp_replace(fold_a(text), "[^a-z0-9\n]+", " ")
+
+
 def raw_tokens(text: Column) -> Column:
     """Latin words of the text as it is, each folded."""
     return F.transform(F.regexp_extract_all(text, F.lit("[0-9A-Za-zÀ-ÿ]+"), F.lit(0)), fold_b)

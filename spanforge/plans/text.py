@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spanforge.functions import text as T
 from spanforge.operators import terms
-from spanforge.sources.catalog import bare_lines, lines, placed_lines, table
+from spanforge.sources.catalog import bare_lines, by_id, lines, placed_lines, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,11 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_rows(bare_lines(spark, d), ["doc_id", "idx"], T.content_bag(F.col("text")))
 
 
+def _read(spark: SparkSession, d: str, *besides: Column) -> DataFrame:
+    """Documents for what compares their lines: their tokens, and columns besides."""
+    return by_id(_docs(spark, d), "doc_id", T.token_lines(F.col("text")).alias("tokens"), *besides)
+
+
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return terms.document_frequency(terms.term_rows(_docs(spark, d), ["doc_id"], T.tokens(F.col("text"))), "doc_id")
 
@@ -74,7 +79,7 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_prev8(spark: SparkSession, d: str) -> DataFrame:
-    return terms.best_predecessor(_counts(spark, d), "doc_id").select("doc_id", "idx", "cosine")
+    return terms.best_predecessor(_read(spark, d), "doc_id").select("doc_id", "idx", "cosine")
 
 
 def fresh_terms(spark: SparkSession, d: str) -> DataFrame:

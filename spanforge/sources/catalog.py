@@ -65,3 +65,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, idx, text``: the lines alone, for what needs no times."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+
+
+def by_id(rows: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """``key, texts``: one row for each key, its rows' columns as structs of an array.
+
+    A key has one row as a rule, and such rows stay where they are: what is shuffled are the keys
+    alone, to find those that repeat, and the rows of these.
+    """
+    again = F.broadcast(rows.groupBy(key).count().where("count > 1").select(F.col(key).alias("again")))
+    same = F.col(key).eqNullSafe(F.col("again"))
+    lone = rows.join(again, same, "left_anti").select(key, F.array(F.struct(*columns)).alias("texts"))
+    several = rows.join(again, same, "left_semi").groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("texts"))
+    return lone.unionByName(several)
