@@ -143,6 +143,27 @@ def band(points: DataFrame, anchors: DataFrame, tolerance: int) -> DataFrame:
     return points.withColumn("b", F.floor(F.col("at") / tolerance)).join(a, "b").where(F.abs(F.col("at") - F.col("anchor_at")) <= tolerance).drop("b")
 
 
+def nearest(points: DataFrame, anchors: DataFrame, tolerance: int) -> DataFrame:
+    """``event_id, anchor_id, distance``: the nearest anchor of each point within the tolerance, the smallest id of equals.
+
+    Points meet no anchors but the last one before and the first one behind them, by two windows
+    over a bucket of the tolerance's width; a bucket knows the last anchor of the bucket before
+    and the first one of the bucket behind. Anchors of one moment are one.
+    """
+    bucket = lambda at: F.floor(F.col(at) / tolerance)
+    marks = anchors.where("anchor_at is not null").groupBy("anchor_at").agg(F.min("anchor_id").alias("anchor_id")).select(bucket("anchor_at").alias("b"), F.struct("anchor_at", "anchor_id").alias("mark"))
+    ends = marks.groupBy("b").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+    known = marks.unionByName(ends.select((F.col("b") - 1).alias("b"), F.col("first").alias("mark"))).unionByName(ends.select((F.col("b") + 1).alias("b"), F.col("last").alias("mark")))
+    own = points.where("at is not null").select(bucket("at").alias("b"), "at", F.lit(True).alias("point"), "event_id")
+    rows = own.unionByName(known.select("b", F.col("mark.anchor_at").alias("at"), F.lit(False).alias("point"), "mark"), allowMissingColumns=True)
+    # anchors come before the points of their moment, in both directions
+    upto = lambda at: F.last("mark", True).over(Window.partitionBy("b").orderBy(at, "point").rowsBetween(Window.unboundedPreceding, 0))
+    near = lambda mark: F.struct(F.abs(F.col("at") - F.col(mark)["anchor_at"]).alias("distance"), F.col(mark)["anchor_id"].alias("anchor_id"))
+    met = rows.withColumn("before", upto(F.asc("at"))).withColumn("behind", upto(F.desc("at"))).where("point")
+    best = met.select("event_id", F.array_min(F.filter(F.array(near("before"), near("behind")), lambda x: x["distance"] <= tolerance)).alias("best")).where("best is not null")
+    return best.groupBy("event_id").agg(F.min("best").alias("best")).select("event_id", "best.anchor_id", "best.distance")
+
+
 def dark_gaps(merged: DataFrame, key: str, ceiling: Column) -> DataFrame:
     """Uncovered spans longer than a ceiling that may depend on where they begin."""
     return complement(merged, key, 0).where(F.col("stop") - F.col("start") > ceiling)

@@ -117,8 +117,7 @@ def nearest_anchor_band(spark: SparkSession, d: str) -> DataFrame:
     all_ = spans(spark, d)
     points = all_.where("kind = 'click'").select("event_id", F.col("start").alias("at"))
     anchors = all_.where("kind = 'purchase'").select(F.col("event_id").alias("anchor_id"), F.col("start").alias("anchor_at"))
-    pairs = iv.band(points, anchors, 30 * MINUTE).withColumn("distance", F.abs(F.col("at") - F.col("anchor_at")))
-    return pairs.groupBy("event_id").agg(F.min_by("anchor_id", F.struct("distance", "anchor_id")).alias("anchor_id"), F.min("distance").alias("distance"))
+    return iv.nearest(points, anchors, 30 * MINUTE)
 
 
 def containment_join(spark: SparkSession, d: str) -> DataFrame:
