@@ -44,7 +44,7 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dominant_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return terms.dominant_vocab(_terms(spark, d), "doc_id", bare_lines(spark, d)).select("doc_id", "term", "df", "total", "place")
+    return terms.dominant_vocab(_read(spark, d), "doc_id")
 
 
 def dominant_terms_ratio(spark: SparkSession, d: str) -> DataFrame:
