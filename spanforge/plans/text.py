@@ -87,10 +87,7 @@ def fresh_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a line's distinct terms that belong to its document's dominant vocabulary."""
-    subject = dominant_vocab(spark, d).select("doc_id", "term", F.lit(1).alias("hit"))
-    own = _counts(spark, d).join(subject, ["doc_id", "term"], "left")
-    return own.groupBy("doc_id", "idx").agg(F.count("*").alias("terms"), F.count("hit").alias("hits")).withColumn("overlap", F.round(F.col("hits") / F.col("terms"), 6))
+    return terms.subject_overlap(_read(spark, d), "doc_id")
 
 
 def intro_outro(spark: SparkSession, d: str) -> DataFrame:
