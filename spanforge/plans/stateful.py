@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as T
-from spanforge.operators import intervals, rank, sequential
+from spanforge.operators import intervals, rank, sequential, terms
 from spanforge.plans import retrieval
 from spanforge.plans import text as text_plan
 from spanforge.sources.catalog import bare_lines, lines, spans, table
@@ -21,10 +21,8 @@ def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tangent_runs(spark: SparkSession, d: str) -> DataFrame:
-    overlap = text_plan.subject_overlap(spark, d).select("doc_id", "idx", "overlap")
-    marked = F.col("text").rlike("(?i)^(by|for|that|pour|para|nicht)\\b")
-    rows = bare_lines(spark, d).select("doc_id", "idx", marked.alias("marked")).join(overlap, ["doc_id", "idx"], "left").na.fill(0.0, ["overlap"])
-    return sequential.streamed(rows, "doc_id", ["idx"], sequential.tangents, "doc_id long, first_idx long, last_idx long, n_rows long")
+    marked = F.transform(F.split("text", "\n"), lambda x: x.rlike("(?i)^(by|for|that|pour|para|nicht)\\b"))
+    return terms.tangent_runs(text_plan.read(spark, d, marked.alias("marked")), "doc_id")
 
 
 def review_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_rows(bare_lines(spark, d), ["doc_id", "idx"], T.content_bag(F.col("text")))
 
 
-def _read(spark: SparkSession, d: str, *besides: Column) -> DataFrame:
+def read(spark: SparkSession, d: str, *besides: Column) -> DataFrame:
     """Documents for what compares their lines: their tokens, and columns besides."""
     return by_id(_docs(spark, d), "doc_id", T.token_lines(F.col("text")).alias("tokens"), *besides)
 
@@ -44,7 +44,7 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dominant_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return terms.dominant_vocab(_read(spark, d), "doc_id")
+    return terms.dominant_vocab(read(spark, d), "doc_id")
 
 
 def dominant_terms_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_prev8(spark: SparkSession, d: str) -> DataFrame:
-    return terms.best_predecessor(_read(spark, d), "doc_id").select("doc_id", "idx", "cosine")
+    return terms.best_predecessor(read(spark, d), "doc_id").select("doc_id", "idx", "cosine")
 
 
 def fresh_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def fresh_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return terms.subject_overlap(_read(spark, d), "doc_id")
+    return terms.subject_overlap(read(spark, d), "doc_id")
 
 
 def intro_outro(spark: SparkSession, d: str) -> DataFrame:
