@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spanforge.functions import text as T
 from spanforge.operators import terms
-from spanforge.sources.catalog import bare_lines, by_id, lines, placed_lines, table
+from spanforge.sources.catalog import bare_lines, by_id, lines, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,10 @@ def read(spark: SparkSession, d: str, *besides: Column) -> DataFrame:
     return by_id(_docs(spark, d), "doc_id", T.token_lines(F.col("text")).alias("tokens"), *besides)
 
 
+def line_lengths() -> Column:
+    return F.transform(F.split("text", "\n"), lambda x: F.length(x))
+
+
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return terms.document_frequency(terms.term_rows(_docs(spark, d), ["doc_id"], T.tokens(F.col("text"))), "doc_id")
 
@@ -91,17 +95,8 @@ def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intro_outro(spark: SparkSession, d: str) -> DataFrame:
-    """First and last line that touches the subject; long leads and tails are flagged.
-
-    A document's few subject words are joined to it, and its lines are read inside the row.
-    """
-    subject = dominant_vocab(spark, d).groupBy("doc_id").agg(F.collect_set("term").alias("subject"))
-    # the subject is an element's field: a lambda sees it without reading the column again
-    both = F.transform(placed_lines(F.col("text")), lambda x, i: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), i.alias("idx"), F.arrays_overlap(T.content_bag(x["text"]), F.col("subject")).alias("touch")))
-    rows = _docs(spark, d).join(subject, "doc_id").select("doc_id", both.alias("l")).withColumn("hit", F.filter("l", lambda x: x["touch"])).where(F.size("hit") > 0)
-    lead, last, total = F.get("hit", F.lit(0)), F.element_at("hit", -1)["stop"], F.element_at("l", -1)["stop"]
-    long = ((lead["start"] > 2500) & (lead["idx"] >= 3)).alias("long_intro")
-    return rows.select("doc_id", lead["start"].alias("lead"), (total - last).alias("tail"), long, (total - last > 2000).alias("long_outro"))
+    """First and last line that touches the subject; long leads and tails are flagged."""
+    return terms.intro_outro(read(spark, d, line_lengths().alias("lengths")), "doc_id")
 
 
 def first_mention(spark: SparkSession, d: str) -> DataFrame:
