@@ -78,16 +78,12 @@ def clause_weight(spark: SparkSession, d: str) -> DataFrame:
     return bare_lines(spark, d).groupBy("doc_id").agg(F.round(F.sum(T.block_weight(F.col("text"))), 3).alias("weight"))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).groupBy("doc_id", "idx", "term").agg(F.count("*").alias("n"))
-
-
 def cosine_prev8(spark: SparkSession, d: str) -> DataFrame:
     return terms.best_predecessor(read(spark, d), "doc_id").select("doc_id", "idx", "cosine")
 
 
 def fresh_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.fresh_terms(_counts(spark, d), "doc_id")
+    return terms.fresh_terms(read(spark, d), "doc_id")
 
 
 def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
