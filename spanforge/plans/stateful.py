@@ -25,23 +25,24 @@ def tangent_runs(spark: SparkSession, d: str) -> DataFrame:
     return terms.tangent_runs(text_plan.read(spark, d, marked.alias("marked")), "doc_id")
 
 
+#: What the detectors propose: ``suggestion, category, confidence, level``.
+PROPOSALS = (("CUT", "notice", 0.9, 2), ("REVIEW", "filler", 0.6, 1), ("REVIEW", "shout", 0.5, 1), ("CUT", "nothing new", 0.7, 2))
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of the documents with the proposals of the detectors, ``p``, in their order."""
+    spoken = F.transform(F.split("text", "\n"), lambda x: T.once(text_plan.intent_of(x), lambda i: F.when(i == "legal", 0).when(i == "reaction", 2)))
+    made = F.array(*(F.struct(F.lit(level).alias("level"), F.lit(-k).alias("rank"), F.lit(what).alias("suggestion"), F.lit(why).alias("category"), F.lit(share).alias("confidence")) for k, (what, why, share, level) in enumerate(PROPOSALS)))
+    docs = text_plan.read(spark, d, text_plan.line_lengths().alias("lengths"), spoken.alias("spoken"))
+    return terms.reviewed(docs, "doc_id").withColumn("p", F.transform("found", lambda k: F.get(made, k)))
+
+
 def review_merge(spark: SparkSession, d: str) -> DataFrame:
     """Proposals of the detectors, merged: strongest suggestion, its first category, all reasons."""
-    fillers = text_plan.filler_density(spark, d).select("doc_id", "idx", F.lit(1).alias("detector"), F.lit("REVIEW").alias("suggestion"), F.lit("filler").alias("category"), F.lit(0.6).alias("confidence"))
-    proposal = lambda detector, level, category, share: F.struct(F.lit(detector).alias("detector"), F.lit(level).alias("suggestion"), F.lit(category).alias("category"), F.lit(share).alias("confidence"))
-    intent = text_plan.intent_of(F.col("text"))
-    spoken = bare_lines(spark, d).select("doc_id", "idx", F.when(intent == "legal", proposal(0, "CUT", "notice", 0.9)).when(intent == "reaction", proposal(2, "REVIEW", "shout", 0.5)).alias("p"))
-    spoken = spoken.where("p is not null").select("doc_id", "idx", "p.*")
-    stale = text_plan.fresh_terms(spark, d).where("fresh = 0").select("doc_id", "idx", F.lit(3).alias("detector"), F.lit("CUT").alias("suggestion"), F.lit("nothing new").alias("category"), F.lit(0.7).alias("confidence"))
-    level = F.when(F.col("suggestion") == "CUT", 2).otherwise(1)
-    every = fillers.unionByName(spoken).unionByName(stale).withColumn("level", level)
-    top = F.max("level").over(Window.partitionBy("doc_id", "idx"))
-    merged = every.withColumn("top", top).groupBy("doc_id", "idx").agg(
-        F.min_by("suggestion", F.struct(-F.col("level"), F.col("detector"))).alias("suggestion"), F.min_by("category", F.struct(-F.col("level"), F.col("detector"))).alias("category"),
-        F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("detector", "category"))), lambda x: x["category"]), "; ").alias("reasons"),
-        F.max(F.when(F.col("level") == F.col("top"), F.col("confidence"))).alias("confidence"),
-    )
-    return merged
+    top = F.array_max("p")
+    sure = F.array_max(F.transform(F.filter("p", lambda x: x["level"] == F.col("top.level")), lambda x: x["confidence"]))
+    found = _reviewed(spark, d).where(F.size("p") > 0).withColumn("top", top)
+    return found.select("doc_id", "idx", "top.suggestion", "top.category", F.array_join(F.transform("p", lambda x: x["category"]), "; ").alias("reasons"), sure.alias("confidence"))
 
 
 def review_summary(spark: SparkSession, d: str) -> DataFrame:

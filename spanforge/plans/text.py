@@ -58,16 +58,9 @@ def dominant_terms_ratio(spark: SparkSession, d: str) -> DataFrame:
     return df.join(size, "doc_id").where("df * 4 > n_lines").select("doc_id", "term", "df", "n_lines")
 
 
-def _filler_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).withColumn("t", T.tokens(F.col("text")))
-    return rows.select("doc_id", "idx", "start", "stop", terms.filler_hits(F.col("t")).alias("hits"), F.size("t").alias("n_tokens"))
-
-
 def filler_density(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose surroundings are dense in fillers and that have two of their own."""
-    found = terms.filler_windows(_filler_lines(spark, d), "doc_id")
-    dense = (F.col("window_tokens") >= 12) & (F.col("window_hits") * 100 >= 15 * F.col("window_tokens")) & (F.col("hits") >= 2)
-    return found.where(dense).select("doc_id", "idx", "hits", "window_hits", "window_tokens")
+    return terms.filler_density(read(spark, d, line_lengths().alias("lengths")), "doc_id")
 
 
 def syllable_weight(spark: SparkSession, d: str) -> DataFrame:
