@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanforge.functions import text as T
 from spanforge.operators import intervals, rank, sequential, terms
 from spanforge.plans import retrieval
 from spanforge.plans import text as text_plan
-from spanforge.sources.catalog import bare_lines, lines, spans, table
+from spanforge.sources.catalog import bare_lines, spans, table
 
 MINUTE = 60_000_000
 
@@ -47,11 +46,12 @@ def review_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def review_summary(spark: SparkSession, d: str) -> DataFrame:
     """Removable time of a document: cuts whole, reviews half, and counts by suggestion."""
-    rows = lines(spark, d).join(review_merge(spark, d), ["doc_id", "idx"], "left")
-    length = F.col("stop") - F.col("start")
+    none = F.col("doc_id").isNull() | (F.size("p") == 0)
+    rows = _reviewed(spark, d).withColumn("suggestion", F.when(~none, F.array_max("p")["suggestion"]))
+    count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     out = rows.groupBy("doc_id").agg(
-        F.count_if(F.col("suggestion") == "CUT").alias("n_cut"), F.count_if(F.col("suggestion") == "REVIEW").alias("n_review"), F.count_if(F.col("suggestion").isNull()).alias("n_keep"),
-        F.sum(F.when(F.col("suggestion") == "CUT", 2 * length).when(F.col("suggestion") == "REVIEW", length).otherwise(0)).alias("twice"), F.max("stop").alias("duration"),
+        count(F.col("suggestion") == "CUT").alias("n_cut"), count(F.col("suggestion") == "REVIEW").alias("n_review"), count(F.col("suggestion").isNull()).alias("n_keep"),
+        F.sum(F.when(F.col("suggestion") == "CUT", 2 * F.col("length")).when(F.col("suggestion") == "REVIEW", F.col("length")).otherwise(0)).alias("twice"), F.max("stop").alias("duration"),
     )
     return out.select("doc_id", "n_cut", "n_review", "n_keep", (F.col("duration") - F.floor(F.col("twice") / 2)).cast("long").alias("estimate"))
 

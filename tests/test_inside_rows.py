@@ -44,7 +44,7 @@ def _wide(shuffled):
     return [c for c in shuffled if {"term", "idx", "pos", "words", "text"} & set(c)]
 
 
-INSIDE = ["cosine_prev8", "dominant_vocab", "subject_overlap", "intro_outro", "fresh_terms", "filler_density", "review_merge"]
+INSIDE = ["cosine_prev8", "dominant_vocab", "subject_overlap", "intro_outro", "fresh_terms", "filler_density", "review_merge", "review_summary"]
 
 
 @pytest.mark.parametrize("name", INSIDE)
