@@ -50,9 +50,8 @@ k as (select doc_id, a, b, unnest(range(1, greatest(len(a), len(b)) + 1)) as i,
 select doc_id, round(count(*) filter (a[i] = b[i]) / max(n), 6) as alignment from k group by 1""")
 def positional_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Each text with the one of the next id, place by place."""
-    own = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
-    other = own.select((F.col("doc_id") - 1).alias("doc_id"), "words").join(own.select("doc_id"), "doc_id", "left_semi")
-    return planning.positional_alignment(own.join(other.select("doc_id"), "doc_id", "left_semi"), other, "doc_id").select("doc_id", F.round("alignment", 6).alias("alignment"))
+    texts = table(spark, d, "documents").select("doc_id", T.token_lines(F.col("text")).alias("tokens"))
+    return planning.alignment_with_next(texts, "doc_id").select("doc_id", F.round("alignment", 6).alias("alignment"))
 
 
 _SELF = ("rights reserved", "of the", "license")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from spanforge import registry
+from spanforge.operators import planning
 from tests.test_oracles import _rows
 
 #: Repeated ids, a missing text, empty texts and lines, words of more than one line, letters that fold.
@@ -44,7 +45,7 @@ def _wide(shuffled):
     return [c for c in shuffled if {"term", "idx", "pos", "words", "text"} & set(c)]
 
 
-INSIDE = ["cosine_prev8", "dominant_vocab", "subject_overlap", "intro_outro", "fresh_terms", "filler_density", "review_merge", "review_summary"]
+INSIDE = ["cosine_prev8", "dominant_vocab", "subject_overlap", "intro_outro", "fresh_terms", "filler_density", "review_merge", "review_summary", "positional_alignment"]
 
 
 @pytest.mark.parametrize("name", INSIDE)
@@ -67,3 +68,11 @@ def test_tangents_inside_the_row(spark, odd):
     ours, theirs = (x[~x["doc_id"].isin([2, 7]) & x["doc_id"].notna()].astype("int64") for x in both)
     assert _rows(ours) == _rows(theirs) and len(ours)
     assert not _wide(_shuffled(spark, registry.queries()["tangent_runs"](spark, folder)))
+
+
+def test_neighbours_meet_across_blocks(spark):
+    """Ids around the edges of blocks, negative ones too; each text once beside its next."""
+    ids = [-257, -256, -255, -1, 0, 1, 254, 255, 256, 257, 511, 512, 600]
+    texts = spark.createDataFrame([(k, f"a{k % 2} b c") for k in ids], "k long, tokens string").repartition(4)
+    found = sorted((r.k, round(r.alignment, 6)) for r in planning.alignment_with_next(texts, "k").collect())
+    assert found == [(k, 0.666667) for k in ids if k + 1 in ids]
